@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import langkernel, simhash
+from quernstone.llm import langkernel, simhash, suffixdedup
 from quernstone.session import table
 
 
@@ -14,12 +14,16 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langkernel.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.spans(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_language_id, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op5_language_id, op7_suffix_dedup, op9_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
