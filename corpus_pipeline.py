@@ -1,10 +1,18 @@
-"""The corpus pipeline: STAGES over the documents table."""
+"""The corpus pipeline: STAGES over the documents table.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
+one's docs. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import langkernel, simhash
+from quernstone.llm import decontaminate, langkernel, packing, simhash, suffixdedup
+from quernstone.session import table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,4 +25,39 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return simhash.keep_one(docs)
 
 
-STAGES = [("language_id", identify_language), ("simhash_near_dedup", drop_near_duplicates)]
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that repeat earlier ones."""
+    return suffixdedup.remove_repeats(docs)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark text."""
+    return decontaminate.remove(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Places of the documents' pieces in training sequences."""
+    return packing.assign(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("simhash_near_dedup", drop_near_duplicates),
+    ("suffix_array_dedup", cut_repeats),
+    ("benchmark_decontamination", decontaminate_benchmark),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: Stages 1 to 3 and 5 cannot be expressed in SQL; tests hold run() against brute-force versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STAGES applied to documents; the stages' tables go below the shared folder in spark.checkpoint.dir (a temporary one where that is unset)."""
+    shared = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="corpus-pipeline-")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        at = f"{shared}/pipeline-{uuid.uuid4().hex}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+    return docs

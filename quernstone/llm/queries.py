@@ -6,25 +6,58 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import langkernel, simhash, suffixdedup
+import corpus_pipeline
+from quernstone.llm import arc2warc, decontaminate, kdshard, knnquality, langkernel, packing, simhash, suffixdedup, urlglob, weakrules
 from quernstone.session import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.verdicts(decontaminate.spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdshard.assign(table(spark, sf_dir, "documents"))
+
+
+def op3_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knnquality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlglob.judge(table(spark, sf_dir, "pages"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langkernel.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return arc2warc.convert_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixdedup.spans(table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.assign(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weakrules.score(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_language_id, op7_suffix_dedup, op9_simhash_near_dedup)}
+    named = (op1_decontaminate, op2_kd_sharding, op3_knn_quality, op4_url_filter, op5_language_id, op6_arc_to_warc, op7_suffix_dedup, op8_best_fit_packing, op9_simhash_near_dedup, op10_weak_supervision)
+    return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    found = {"op1_decontaminate": decontaminate.verdicts_sql(), "op4_url_filter": urlglob.judge_sql()}
+    if corpus_pipeline.ORACLE_SQL is not None:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found
