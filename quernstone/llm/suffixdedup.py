@@ -34,6 +34,11 @@ LENGTH = 50
 GRAM = 25
 SPAN = LENGTH - GRAM + 1  # gram positions in a window; also the most words after an anchor, plus one
 CONTEXT = LENGTH - GRAM
+#: Suffixes whose windows are compared at a time (more where one gram has more).
+BLOCK = 10_000
+#: Suffixes of a run, and ranges of the first letter for each shuffle partition.
+RUN_ROWS = 1 << 16
+RANGES = 4
 
 
 def anchors(words: textscan.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -313,11 +318,20 @@ def merge_range(table: pa.Table) -> pa.Table:
     run, at, shared = merge([(r[0], r[1], r[7]) for r in runs])
     base = np.concatenate(([0], np.cumsum([len(r[0]) for r in runs])[:-1]))
     order = base[run] + at
-    found = repeats(shared == 0, *(np.concatenate([r[i] for r in runs])[order] for i in (1, 2, 3, 4, 5, 6)))
-    return pa.Table.from_batches([found])
-
-
-def spans(docs: DataFrame, run_rows: int = 1 << 18) -> DataFrame:
+    columns = [np.concatenate([r[i] for r in runs]) for i in (1, 2, 3, 4, 5, 6)]
+    del runs
+    new = shared == 0
+    # blocks of whole grams, so that the windows of only some suffixes are spread out at a time
+    heads = np.append(np.flatnonzero(new), len(order))
+    found, at = [], 0
+    while at < len(order):
+        to = int(heads[max(np.searchsorted(heads, at + BLOCK, "right") - 1, np.searchsorted(heads, at, "right"))])
+        found.append(repeats(new[at:to], *(c[order[at:to]] for c in columns)))
+        at = to
+    return pa.Table.from_batches(found, schema=SPAN_ROW)
+
+
+def spans(docs: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     """(doc_id, start, stop, words, first_doc_ids): passages, as ranges of word numbers, that repeat an earlier one.
 
     Every window of LENGTH words that occurs at an earlier (doc_id, word) is covered; first_doc_ids lists the
@@ -334,7 +348,7 @@ def spans(docs: DataFrame, run_rows: int = 1 << 18) -> DataFrame:
     lived = cut(twice.groupBy("doc_id").agg(F.collect_set("word").alias("words")))
     size = lived.agg(F.sum(F.size("words") * 4 + 48).alias("b")).first().b or 0
     side = F.broadcast(lived) if size <= BROADCAST_BYTES else lived.hint("shuffle_hash")
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     pieces = arrow_map(own.join(side, "doc_id"), lambda b: make_runs(ranges, run_rows, b), "range int, piece binary")
     rows = pieces.groupBy("range").applyInArrow(merge_range, "doc_id long, start int, stop int, first_doc_id long")
     w = Window.partitionBy("doc_id").orderBy("start", "stop")
