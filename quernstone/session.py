@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
+#: Bytes of one Arrow batch.
+ARROW_BYTES = 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -19,6 +21,7 @@ def ship(spark: SparkSession) -> None:
     The archive is written by the driver (below the shared checkpoint folder when that is a file path) and
     fetched by executors through Spark, so workers need no installation and no common path.
     """
+    settle(spark)
     context = spark.sparkContext
     if getattr(context, "_quernstone_shipped", False):
         return
@@ -49,6 +52,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Session settings that operators rely on.
+
+    A rule of Spark 4.1 by which a union of equally partitioned inputs claims their partitioning is turned off: once
+    adaptive execution has coalesced the inputs differently, groups come out split or the job fails. Batches that go
+    to Python are limited by bytes, so that long texts do not make large ones.
+    """
+    for name, value, default in (("spark.sql.unionOutputPartitioning", "false", "true"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES), "0")):
+        if spark.conf.get(name, default) != value:
+            spark.conf.set(name, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables below sf_dir."""
+    settle(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
