@@ -59,9 +59,8 @@ def settle(spark: SparkSession) -> None:
     adaptive execution has coalesced the inputs differently, groups come out split or the job fails. Batches that go
     to Python are limited by bytes, so that long texts do not make large ones.
     """
-    for name, value, default in (("spark.sql.unionOutputPartitioning", "false", "true"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES), "0")):
-        if spark.conf.get(name, default) != value:
-            spark.conf.set(name, value)
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
