@@ -49,7 +49,13 @@ def without_comments(code: str) -> str:
             out.append(code[at:start])
             at = start + len(text)
     out.append(code[at:])
-    return GARBAGE.sub("", "".join(out), count=1).lstrip()
+    code = "".join(out)
+    literals = [(a, a + len(t)) for k, t, a in lex(code) if k == "string"]
+    for m in GARBAGE.finditer(code):
+        if not any(a <= m.start() < b for a, b in literals):
+            code = code[: m.start()] + code[m.end() :]
+            break
+    return code.lstrip()
 
 
 def ascii_only(code: str) -> str:

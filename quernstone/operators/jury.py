@@ -54,7 +54,7 @@ def agreement(evaluations: DataFrame, weights: Mapping[str, float] | None = None
     top = sum(x * x for x in scale.values()) ** 0.5
     apart = F.sqrt(sum((F.pow((F.col(f"a_{c}") - F.col(f"b_{c}")) * x, F.lit(2.0)) for c, x in scale.items()), F.lit(0.0)))
     each = pairs(evaluations, sample, judge).groupBy(sample).agg((1 - F.avg(apart) / top).alias("__a"))
-    return evaluations.select(sample).distinct().join(each, sample, "left").select(sample, F.round(F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "__a")), F.lit(1.0)), digits).alias("agreement"))
+    return evaluations.select(sample).distinct().join(each, sample, "left").select(sample, F.round(F.when(F.col("__a").isNull(), 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "__a"))), digits).alias("agreement"))
 
 
 def rejection(df: DataFrame, least_score: float, least_agreement: float, score: str = "score", agree: str = "agreement") -> DataFrame:

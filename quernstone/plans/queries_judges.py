@@ -22,7 +22,7 @@ def agreement_sql(weights: dict[str, float] | None) -> str:
     top = sum(x * x for x in w.values()) ** 0.5
     apart = "sqrt(" + " + ".join(f"pow((a.{c} - b.{c}) * {x}, 2)" for c, x in w.items()) + ")"
     return f"""g AS (SELECT a.sample_id, 1 - avg({apart}) / {top!r} AS v FROM judgements a JOIN judgements b ON a.sample_id = b.sample_id AND a.judge_name < b.judge_name GROUP BY a.sample_id),
-    agreed AS (SELECT DISTINCT j.sample_id, round(coalesce(least(1.0, greatest(0.0, v)), 1.0), 9) AS agreement FROM judgements j LEFT JOIN g USING (sample_id))"""
+    agreed AS (SELECT DISTINCT j.sample_id, round(CASE WHEN v IS NULL THEN 1.0 ELSE least(1.0, greatest(0.0, v)) END, 9) AS agreement FROM judgements j LEFT JOIN g USING (sample_id))"""
 
 
 @query("s12_judge_rows", J + " SELECT * FROM judgements")
