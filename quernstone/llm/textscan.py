@@ -95,8 +95,8 @@ def pieces(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         at = to
 
 
-def scan(column: pa.Array, hashes: bool = True) -> Words:
-    """Words of a large_string array that strings() made."""
+def scan(column: pa.Array, hashes: bool = True, stem: int = 0) -> Words:
+    """Words of a large_string array that strings() made; with stem, hashes are of their first stem bytes only."""
     data, offsets = raw(column)
     n = len(data)
     word = WORD[data]
@@ -114,7 +114,8 @@ def scan(column: pa.Array, hashes: bool = True) -> Words:
         total = np.empty(n + 1, np.uint64)
         total[0] = 0
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, n)[:n], out=total[1:])
-        h = mix((total[end] - total[start]) * powers(INVERSE, n)[start])
+        upto = np.minimum(end, start + stem) if stem else end
+        h = mix((total[upto] - total[start]) * powers(INVERSE, n)[start])
     return Words(data, offsets, start, end, h, ptr)
 
 
