@@ -1,8 +1,9 @@
 """Quality rules as weak supervision.
 
 Each rule votes good (1), bad (-1) or abstains (0) on a document. The votes' joint counts over all documents feed an
-expectation-maximisation of a two-class model with independent rules: class shares, and for each rule its chances of
-each vote given the class. The posterior probability of good replaces the demand that all rules pass.
+expectation-maximisation of a two-class model with independent rules: class shares, and for each rule the chance of a
+good vote given the class, where it votes. An abstention says nothing of the class. The posterior probability of good
+replaces the demand that all rules pass.
 """
 
 from __future__ import annotations
@@ -114,8 +115,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) ->
     cast = np.abs(patterns).sum(1)
     good = np.where(cast > 0, (patterns > 0).sum(1) / np.maximum(cast, 1), 0.5)
     good = np.clip(good, 0.05, 0.95)
-    hot = np.stack([patterns == v for v in (-1, 0, 1)], 2).astype(np.float64)
-    chance = np.full((patterns.shape[1], 3, 2), 1 / 3)
+    hot = np.stack([patterns == v for v in (-1, 1)], 2).astype(np.float64)
     for _ in range(rounds):
         weight = np.stack([counts * (1 - good), counts * good], 1)
         share = (weight.sum(0) + SMOOTH) / (weight.sum() + 2 * SMOOTH)
