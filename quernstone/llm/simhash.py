@@ -248,7 +248,7 @@ def groups(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS)
     """
     sums = [f"s{i}" for i in range(LANES)]
     signed = cut(arrow_map(docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL"), sign, "doc_id long, copy long, copy2 long, " + ", ".join(f"{c} long" for c in sums)))
-    copies = cut(signed.groupBy("copy", "copy2").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in sums), F.collect_set("doc_id").alias("all")))
+    copies = cut(signed.groupBy("copy", "copy2").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("__last"), *(F.first(c).alias(c) for c in sums)))
     bits = band_bits(copies.count())
     bands = band_positions(bits, tables(bits, radius))
     full = pa.schema([("id", pa.int64()), ("shard", pa.int64()), *((c, pa.int64()) for c in sums)])
@@ -273,8 +273,10 @@ def groups(docs: DataFrame, radius: int = RADIUS, shard_rows: int = SHARD_ROWS)
     split = split.select("id", F.when(F.col("__parts").isNull(), F.col("shard")).otherwise(F.xxhash64("shard", "__part")).alias("shard"), (F.col("__own") == F.col("__part")).alias("held"), *sums)
     found = arrow_map(split.repartition("shard").sortWithinPartitions("shard"), lambda b: link_shards(radius, b), "a long, b long").distinct()
     near = components(found)
-    root = copies.join(near.select("id", F.col("root").alias("__root")), "id", "left")
-    return root.select(F.explode("all").alias("doc_id"), F.coalesce("__root", "id").alias("kept_doc_id")).filter("doc_id <> kept_doc_id").distinct()
+    root = copies.join(near.select("id", F.col("root").alias("__root")), "id", "left").select("copy", "copy2", F.coalesce("__root", "id").alias("kept_doc_id"), "__last")
+    # only groups in which some document goes; a group of copies is never gathered in one row
+    root = cut(root.filter("kept_doc_id <> __last").drop("__last"))
+    return signed.select("copy", "copy2", "doc_id").join(small(root, 40), ["copy", "copy2"]).filter("doc_id <> kept_doc_id").select("doc_id", "kept_doc_id").distinct()
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
