@@ -260,3 +260,12 @@ def clean(df: DataFrame, column: str = "func", run_preprocessor: bool = False, s
             yield pd.DataFrame(rows, columns=["clean", "status", "cyclomatic_complexity"]).astype({"cyclomatic_complexity": "Int32"})
 
     return df.withColumn("__c", run(F.col(column))).select(*df.columns, "__c.clean", "__c.status", "__c.cyclomatic_complexity")
+
+
+def format_code(code: str, style: str = "LLVM", seconds: int = 10) -> tuple[str, str]:
+    """(code, status): formatted where the formatter is installed, else as it is with status unformatted."""
+    tool = shutil.which("clang-format")
+    if tool is None:
+        return code, "unformatted"
+    got = subprocess.run([tool, f"--style={style}", "--assume-filename=a.c"], input=code, capture_output=True, text=True, timeout=seconds, check=False)
+    return (got.stdout, "formatted") if got.returncode == 0 else (code, "unformatted")

@@ -290,3 +290,19 @@ def m02(spark, sf_dir):
 @query("f25_prediction_json", "WITH " + PREDICTIONS + " SELECT id, '{\"cwes\":[' || array_to_string(list_sort(pred_cwes), ',') || ']}' AS json FROM predictions")
 def prediction_text(spark, sf_dir):
     return predictions(spark, sf_dir).select("id", F.to_json(F.struct(F.array_sort("pred_cwes").alias("cwes"))).alias("json"))
+
+
+@query("b10_training_pipeline")
+def b10(spark, sf_dir):
+    from quernstone.plans.queries_data import scratch
+    from quernstone.plans.training import prepare
+
+    rows = described(spark, sf_dir).withColumns({"func": F.concat(F.lit("int f"), F.col("id").cast("string"), F.lit("(void);")), "reasoning": F.lit("Because of the labels.")})
+    done = prepare(rows, scratch(spark, "training"), least=1)
+    return done.groupBy("split", "target").agg(F.count("*").alias("n"), F.min(F.length("text")).alias("shortest"))
+
+
+@query("x07_x08_formatted_code", "SELECT doc_id, true AS kept FROM documents")
+def x08(spark, sf_dir):
+    got = ccode.clean(code(spark, sf_dir), step=lambda c: ccode.format_code(c)[0])
+    return got.select("doc_id", (F.length("clean") > 0).alias("kept"))

@@ -236,3 +236,22 @@ def test_delimiters():
         prompts.delimiters("x", "plain")
     with pytest.raises(KeyError):
         prompts.registered(["a"], {})
+
+
+def test_training_pipeline_reuses_its_stages(spark, tmp_path):
+    from quernstone.plans import training
+
+    rows = [(i, f"p{i % 8}", i % 3 == 0, [f"CWE-{i % 4}"] if i % 3 == 0 else [], ["why"] if i % 3 == 0 else []) for i in range(120)]
+    df = spark.createDataFrame([(i, p, int(t), c, d, "f", "Because.") for i, p, t, c, d in rows], "id long, project string, target int, cwe array<string>, cwe_desc array<string>, func string, reasoning string")
+    got = training.prepare(df, str(tmp_path / "t"), least=1)
+    train = got.filter("split = 'train'")
+    assert train.filter("target = 1").count() == train.filter("target = 0").count() > 0
+    assert got.filter("text LIKE '%Structured Assessment%'").count() == got.count()
+    again = training.prepare(df.limit(0), str(tmp_path / "t"))
+    assert again.count() == got.count()
+
+
+def test_formatter_falls_back():
+    from quernstone.functions import ccode
+
+    assert ccode.format_code("int a;")[0].strip() == "int a;"
