@@ -359,12 +359,11 @@ def b09(spark, sf_dir):
     return balance.stratified_split(samples(spark, sf_dir), "target").select("id", "split")
 
 
-SPLIT_OF = F.when(F.col("id") % 10 < 7, "train").when(F.col("id") % 10 < 9, "val").otherwise("test")
 P = S + ", p AS (SELECT *, CASE WHEN id % 10 < 7 THEN 'train' WHEN id % 10 < 9 THEN 'val' ELSE 'test' END AS split FROM samples)"
 
 
 def parts(spark, sf_dir):
-    return samples(spark, sf_dir).withColumn("split", SPLIT_OF)
+    return samples(spark, sf_dir).withColumn("split", F.when(F.col("id") % 10 < 7, "train").when(F.col("id") % 10 < 9, "val").otherwise("test"))
 
 
 @query("g09_project_profiles", S + """, c AS (SELECT project, string_agg(label || '=' || n, ',' ORDER BY label) AS counts FROM (SELECT project, label, count(*) AS n FROM (SELECT project, unnest(cwe) AS label FROM samples WHERE target = 1) GROUP BY ALL) GROUP BY project)
