@@ -8,7 +8,8 @@ occurrence with the least (doc_id, word) stays.
    other suffix has to be sorted. Anchors whose gram occurs once cannot lie in a repeat and are dropped by a count.
 2. Runs. Each task sorts the suffixes that begin at its remaining anchors, the gram counting as the first letter and
    the words after it as the others, and cuts the sorted run at fixed ranges of that first letter. Suffixes are cut
-   off where no window through the anchor reaches.
+   off where no window through the anchor reaches. Of suffixes of a run with equal words on both sides only the first
+   goes on; the others are repeats of it, so that a passage that many documents share is exchanged once a run.
 3. Exchange. Pieces of runs are front-coded: a suffix carries the length of the prefix it shares with its predecessor
    and only the words after it. The words before the anchor go along as payload.
 4. Merge. A range's pieces are merged by a loser tree whose nodes hold common prefix lengths with the last winner:
@@ -57,6 +58,7 @@ def anchors(words: textscan.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return gram, begin, place[begin].astype(np.int64)
 
 
+SPAN_ROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("first_doc_id", pa.int64())])
 ANCHOR = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("word", pa.int32())])
 
 
@@ -128,6 +130,20 @@ def decode(data: bytes) -> tuple[np.ndarray, ...]:
 
 
 PIECE = pa.schema([("range", pa.int32()), ("piece", pa.binary())])
+#: The range that stands for spans already found within a run.
+LOCAL = -1
+
+
+def pack_spans(ids: np.ndarray, start: np.ndarray, stop: np.ndarray, first: np.ndarray) -> bytes:
+    return np.stack([ids, start, stop, first]).astype(np.int64).tobytes()
+
+
+def local_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the spans that pack_spans put away."""
+    for got in batches:
+        for piece in got["piece"]:
+            ids, start, stop, first = np.frombuffer(piece.as_py(), np.int64).reshape(4, -1)
+            yield batch(SPAN_ROW, ids, start.astype(np.int32), stop.astype(np.int32), first)
 
 
 def make_runs(ranges: int, most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,11 +161,19 @@ def make_runs(ranges: int, most: int, batches: Iterator[pa.RecordBatch]) -> Iter
         at = np.flatnonzero(tied)
         if len(at):
             mine = order[at]
-            order[at] = mine[np.lexsort((place[mine], ids[mine], *right[mine].T[::-1], gram[mine]))]
+            order[at] = mine[np.lexsort((place[mine], ids[mine], *left[mine].T[::-1], *right[mine].T[::-1], gram[mine]))]
         gram, right, right_size, left, left_size, ids, place = (x[order] for x in (gram, right, right_size, left, left_size, ids, place))
+        # of suffixes whose whole context is the same, the first stands for all: the others are repeats of it already
+        same = np.zeros(len(gram), np.bool_)
+        near = np.flatnonzero(gram[1:] == gram[:-1]) + 1
+        same[near] = (right_size[near] == right_size[near - 1]) & (left_size[near] == left_size[near - 1]) & (right[near] == right[near - 1]).all(1) & (left[near] == left[near - 1]).all(1)
+        head = np.flatnonzero(~same)[np.cumsum(~same) - 1]
+        gone = np.flatnonzero(same & ((ids != ids[head]) | (place != place[head])))
+        local = pack_spans(ids[gone], place[gone] - left_size[gone], place[gone] + GRAM + right_size[gone], ids[head[gone]]) if len(gone) else None
+        gram, right, right_size, left, left_size, ids, place = (x[~same] for x in (gram, right, right_size, left, left_size, ids, place))
         part = (gram >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
         cuts = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
-        names, blobs = [], []
+        names, blobs = ([], []) if local is None else ([LOCAL], [local])
         column = np.arange(CONTEXT)[None, :]
         for r in np.flatnonzero(np.diff(cuts)):
             s = slice(cuts[r], cuts[r + 1])
@@ -276,9 +300,6 @@ def merge(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.nda
     return np.array(order_run, np.int64), np.array(order_at, np.int64), np.array(order_shared, np.int64)
 
 
-SPAN_ROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("first_doc_id", pa.int64())])
-
-
 def repeats(gram_new: np.ndarray, right, right_size, left, left_size, ids, place) -> pa.RecordBatch:
     """Windows of a merged suffix array that occur before; gram_new marks where the first letter changes."""
     rank = np.lexsort((place, ids))
@@ -334,8 +355,8 @@ def merge_range(table: pa.Table) -> pa.Table:
 def spans(docs: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     """(doc_id, start, stop, words, first_doc_ids): passages, as ranges of word numbers, that repeat an earlier one.
 
-    Every window of LENGTH words that occurs at an earlier (doc_id, word) is covered; first_doc_ids lists the
-    documents that hold the first occurrences. Repeats within a document count. Null or empty texts and texts of less
+    Every window of LENGTH words that occurs at an earlier (doc_id, word) is covered; first_doc_ids lists
+    documents that hold an earlier occurrence (the first of the run or of all). Repeats within a document count. Null or empty texts and texts of less
     than LENGTH words have none; rows with a null doc_id are left out; rows that repeat a doc_id count as one document
     and share its passages. An empty table gives an empty result. Texts are used whole. Columns other than doc_id and
     text are not looked at.
@@ -349,8 +370,10 @@ def spans(docs: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     size = lived.agg(F.sum(F.size("words") * 4 + 48).alias("b")).first().b or 0
     side = F.broadcast(lived) if size <= BROADCAST_BYTES else lived.hint("shuffle_hash")
     ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = arrow_map(own.join(side, "doc_id"), lambda b: make_runs(ranges, run_rows, b), "range int, piece binary")
-    rows = pieces.groupBy("range").applyInArrow(merge_range, "doc_id long, start int, stop int, first_doc_id long")
+    pieces = cut(arrow_map(own.join(side, "doc_id"), lambda b: make_runs(ranges, run_rows, b), "range int, piece binary"))
+    kind = "doc_id long, start int, stop int, first_doc_id long"
+    rows = pieces.filter(F.col("range") != LOCAL).groupBy("range").applyInArrow(merge_range, kind)
+    rows = rows.unionByName(arrow_map(pieces.filter(F.col("range") == LOCAL), local_spans, kind))
     w = Window.partitionBy("doc_id").orderBy("start", "stop")
     island = rows.withColumn("reach", F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     island = island.withColumn("island", F.sum(F.when(F.col("start") > F.coalesce("reach", F.lit(-1)), 1).otherwise(0)).over(w))
