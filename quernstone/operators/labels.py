@@ -34,13 +34,22 @@ def clean(label: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(label, r"\s+", ""), r"^[\['\"]+|[\]'\"]+$", "")
 
 
-def enrich(df: DataFrame, lookup: DataFrame, labels: str = "cwe", out: str = "cwe_desc", key: str = "id", text: str = "description", missing: str = MISSING) -> DataFrame:
+#: Dictionaries of up to this many rows travel as one map with every row; larger ones are joined label by label.
+MAP_ROWS = 2_000
+
+
+def enrich(df: DataFrame, lookup: DataFrame, labels: str = "cwe", out: str = "cwe_desc", key: str = "id", text: str = "description", missing: str = MISSING, map_rows: int = MAP_ROWS) -> DataFrame:
     """Adds, position by position, the description of each label; missing where the dictionary has none.
 
-    The dictionary's last row of a key wins. Positions travel with the label, so the order survives the shuffle.
+    The dictionary's last row of a key wins. A small dictionary (counted) is broadcast as a map, without a shuffle of
+    df; with a larger one positions travel with the labels, so the order survives the shuffle.
     """
     placed = lookup.select(F.col(key).alias("__key"), F.col(text).alias("__t"), F.monotonically_increasing_id().alias("__i"))
-    one = placed.groupBy("__key").agg(F.max_by("__t", "__i").alias("__text"))
+    one = placed.filter("__key IS NOT NULL").groupBy("__key").agg(F.max_by("__t", "__i").alias("__text"))
+    if one.limit(map_rows + 1).count() <= map_rows:
+        table = one.agg(F.map_from_entries(F.collect_list(F.struct("__key", "__text"))).alias("__map"))
+        joined = df.crossJoin(F.broadcast(table))
+        return joined.withColumn(out, F.transform(F.coalesce(labels, F.array().cast("array<string>")), lambda x: F.coalesce(F.try_element_at("__map", strip_prefix(x)), F.lit(missing)))).drop("__map")
     base = df.withColumn("__row", F.monotonically_increasing_id()) if "id" not in df.columns else df.withColumn("__row", F.col("id"))
     pairs = base.select("__row", F.posexplode(labels).alias("__pos", "__label")).withColumn("__key", strip_prefix(F.col("__label")))
     found = pairs.join(one, "__key", "left").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("__pos", F.coalesce("__text", F.lit(missing)).alias("t")))).alias("__got"))

@@ -103,8 +103,9 @@ def test_group_split_invariants(spark, seed):
 def test_enrich_keeps_order_and_duplicates(spark):
     df = frame(spark, [(1, ["CWE-2", "CWE-1", "CWE-2", "CWE-9"]), (2, [])])
     lookup = spark.createDataFrame([("1", "one"), ("2", "old"), ("2", "two")], "id string, description string").coalesce(1)
-    got = {r.id: r.cwe_desc for r in labels.enrich(df, lookup).collect()}
-    assert got == {1: ["two", "one", "two", labels.MISSING], 2: []}
+    for rows in (labels.MAP_ROWS, 1):  # as a map, and by a join
+        got = {r.id: r.cwe_desc for r in labels.enrich(df, lookup, map_rows=rows).collect()}
+        assert got == {1: ["two", "one", "two", labels.MISSING], 2: []}
 
 
 def test_numeric_frequencies_stop_at_bad_id(spark):
