@@ -115,8 +115,8 @@ def decide(column: pa.Array, model: Model, least: float) -> tuple[np.ndarray, np
     return scores.argmax(1), margin, lettered & (margin >= least)
 
 
-def labelled(docs: DataFrame, rows: int) -> tuple[list[str], list[str]]:
-    """At most rows labelled texts, those whose doc_id has the least hash, over the whole table."""
+def labelled(docs: DataFrame, rows: int) -> tuple[list[str], ...]:
+    """Texts and languages of at most rows labelled documents, those whose doc_id has the least hash, over the whole table."""
     known = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
     ids = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = known.select("doc_id", "text", "lang").join(F.broadcast(ids.select(F.col("doc_id").alias("__id")).distinct()), F.col("doc_id") == F.col("__id"), "left_semi")
