@@ -23,7 +23,7 @@ TOKEN = re.compile(
 DECISIONS = frozenset(("if", "case", "do", "while", "for"))
 #: Signs of C++: classes, access, templates, namespaces, scopes, exceptions and casts.
 CPP_SIGNS = (
-    r"\bclass\s+\w+[^;{]*\{", r"\b(?:private|public|protected)\s*:", r"\btemplate\s*<", r"\bnamespace\b", r"\b\w+(?:<[^>]*>)?::\w+",
+    r"\bclass\s+\w+[^;{]*\{", r"\b(?:private|public|protected)\s*:", r"\btemplate\s*<", r"\bnamespace\b", r"\w\s*(?:<[^<>]*>)?::\s*\w",
     r"\b(?:new|delete|try|catch|throw)\b", r"\b(?:const|static|dynamic|reinterpret)_cast\s*<",
 )
 GARBAGE = re.compile(r"\*+\s*\\*[/\\]")

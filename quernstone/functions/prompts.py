@@ -12,14 +12,15 @@ MODES = {
     "pessimistic": ("Assume that every input may be hostile.", "Remember to distrust callers."),
 }
 SYSTEM = "You review C functions for weaknesses.{assumptions}{guidance}"
+ASSESSMENT = "Structured Assessment"
 USER = "Review this function:\n{func}{reminder}"
 
 DELIMITERS = (
-    ("### instruction", ("### Instruction:", "### Response:")),
+    ("### instruction", tuple(f"### {r}:" for r in ("Instruction", "Response"))),
     ("[inst]", ("[INST]", "[/INST]")),
     ("start_header_id", tuple(f"<|start_header_id|>{r}<|end_header_id|>" for r in ("user", "assistant"))),
     ("im_start", tuple(f"<|im_start|>{r}" for r in ("user", "assistant"))),
-    ("<|user|>", ("<|user|>", "<|assistant|>")),
+    ("<|user|>", tuple(f"<|{r}|>" for r in ("user", "assistant"))),
     ("start_of_turn", tuple(f"<start_of_turn>{r}" for r in ("user", "model"))),
 )
 
@@ -87,7 +88,7 @@ def assessment(target: Column, labels: Column, texts: Column) -> Column:
 
 def with_assessment(reasoning: Column, target: Column, labels: Column, texts: Column) -> Column:
     """Reasoning followed by its structured assessment as fenced JSON."""
-    return F.concat(F.trim(reasoning), F.lit("\n\n**Structured Assessment:**\n```json\n"), F.to_json(assessment(target, labels, texts)), F.lit("\n```"))
+    return F.concat(F.trim(reasoning), F.lit(f"\n\n**{ASSESSMENT}:**\n```json\n"), F.to_json(assessment(target, labels, texts)), F.lit("\n```"))
 
 
 def chat_text(messages: Column, start: str = "<|im_start|>", end: str = "<|im_end|>") -> Column:

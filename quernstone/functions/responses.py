@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quernstone.operators.filters import blank
 
-SCORES = ("quality_score", "correctness", "completeness", "clarity", "technical_accuracy", "logical_flow", "confidence")
+SCORES = tuple("quality_score correctness completeness clarity technical_accuracy logical_flow confidence".split())
 #: Fields that models write as text, number or boolean are read as text and then normalised.
 RESPONSE = "reasoning string, vulnerabilities array<struct<cwe_id string, description string>>, verdict struct<is_vulnerable string, cwe_list array<string>>"
 

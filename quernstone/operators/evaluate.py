@@ -68,10 +68,9 @@ def label_averages(df: DataFrame, gt: str = "gt_cwes", pred: str = "pred_cwes",
 def acceptable(gt: Column, pred: Column, hierarchy: Mapping[int, Sequence[int]]) -> Column:
     """Each true label is predicted itself, by its parent or by a child; without true labels nothing may be predicted."""
     near: dict[int, set[int]] = {}
-    for parent, children in hierarchy.items():
-        for child in children:
-            near.setdefault(parent, set()).add(child)
-            near.setdefault(child, set()).add(parent)
+    for above, below in ((a, b) for a, under in hierarchy.items() for b in under):
+        near.setdefault(above, set()).add(below)
+        near.setdefault(below, set()).add(above)
     table = F.create_map(*(x for k, v in sorted(near.items()) for x in (F.lit(k), F.array(*map(F.lit, sorted(v)))))) if near else F.lit(None).cast("map<int,array<int>>")
     covered = F.forall(gt, lambda g: F.array_contains(pred, g) | F.coalesce(F.arrays_overlap(F.try_element_at(table, g), pred), F.lit(False)))
     return F.when(F.size(gt) == 0, F.size(pred) == 0).otherwise(covered)

@@ -10,7 +10,7 @@ from quernstone.operators.labels import MISSING, frequencies, number, sanitize
 from quernstone.session import cut
 
 #: Phrases by which a text shows that it knew the label, compared in lower case.
-LEAKS = ("known outcome", "as per the label", "the label states", "the label indicates", "according to the label", "specified cwe")
+LEAKS = tuple("known outcome|as per the label|the label states|the label indicates|according to the label|specified cwe".split("|"))
 
 
 def blank(column: Column) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quernstone.operators.stats import share
 
-CRITERIA = ("correctness", "completeness", "clarity", "technical_accuracy", "logical_flow")
-ENSEMBLE_WEIGHTS = {"correctness": 0.35, "completeness": 0.25, "technical_accuracy": 0.20, "clarity": 0.10, "logical_flow": 0.10}
-ANALYSIS_WEIGHTS = {"correctness": 0.35, "completeness": 0.25, "clarity": 0.15, "technical_accuracy": 0.15, "logical_flow": 0.10}
+CRITERIA = tuple("correctness completeness clarity technical_accuracy logical_flow".split())
+ENSEMBLE_WEIGHTS = dict(correctness=0.35, completeness=0.25, technical_accuracy=0.20, clarity=0.10, logical_flow=0.10)
+ANALYSIS_WEIGHTS = dict(correctness=0.35, completeness=0.25, clarity=0.15, technical_accuracy=0.15, logical_flow=0.10)
 METRICS = ("quality_score", *CRITERIA, "confidence")
 
 

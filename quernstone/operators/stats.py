@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-PERCENTILES = (0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
+PERCENTILES = tuple(p / 100 for p in (25, 50, 75, 90, 95, 99))
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -81,7 +81,7 @@ def inequality(counts: DataFrame, n: str = "n", digits: int = 6) -> DataFrame:
     return rows.agg(F.count("*").alias("labels"), F.max("__total").alias("total"), F.round((F.count("*") + 1 - 2 * F.sum(F.col("__cum") / F.col("__total"))) / F.count("*"), digits).alias("gini"), F.round(-F.sum(p * F.log2(p)), digits).alias("entropy"))
 
 
-def percentiles(df: DataFrame, value: str, points: Sequence[float] = (0.25, 0.5, 0.75, 0.9, 0.95)) -> DataFrame:
+def percentiles(df: DataFrame, value: str, points: Sequence[float] = PERCENTILES[:-1]) -> DataFrame:
     """(point, value) rows of exact percentiles."""
     got = df.agg(F.percentile(value, list(points)).alias("p"))
     return got.select(F.posexplode("p").alias("i", "v")).select(F.element_at(F.array(*map(F.lit, points)), F.col("i") + 1).alias("point"), F.round("v", 6).alias("value"))

@@ -551,6 +551,6 @@ def w06(spark, sf_dir):
     return stats.histogram(samples(spark, sf_dir), "token_count")
 
 
-@query("w13_percentiles", S + " SELECT CAST(p AS DOUBLE) AS point, round(v, 6) AS value FROM (SELECT unnest([0.25, 0.5, 0.75, 0.9, 0.95]) AS p, unnest(quantile_cont(token_count, [0.25, 0.5, 0.75, 0.9, 0.95])) AS v FROM samples)")
+@query("w13_percentiles", S + " SELECT CAST(p AS DOUBLE) AS point, round(v, 6) AS value FROM (SELECT unnest({0}) AS p, unnest(quantile_cont(token_count, {0})) AS v FROM samples)".format(list(stats.PERCENTILES[:-1])))
 def w13(spark, sf_dir):
     return stats.percentiles(samples(spark, sf_dir), "token_count")

@@ -139,7 +139,7 @@ def answers(spark, sf_dir):
     """Model answers of known outcome, by number of event."""
     long = "x" * 60
     forms = [
-        "  \n", "I cannot say.", '{"reasoning": }', '{"reasoning": "short", "vulnerabilities": [], "verdict": {"is_vulnerable": false, "cwe_list": []}}',
+        "  \n", "I cannot say.", '{"reasoning": }', '{"reasoning": "short", "verdict": {"cwe_list": [], "is_vulnerable": false}, "vulnerabilities": []}',
         f'{{"reasoning": "{long}", "vulnerabilities": [], "verdict": {{"is_vulnerable": true, "cwe_list": []}}}}',
         f'Sure: {{"reasoning": "{long}", "vulnerabilities": [{{"cwe_id": "79", "description": "cross site"}}], "verdict": {{"is_vulnerable": "yes", "cwe_list": [79, 79]}}}}',
         f'{{"reasoning": "{long}", "vulnerabilities": [{{"cwe_id": 0, "description": "d"}}], "verdict": {{"is_vulnerable": true, "cwe_list": [0]}}}}',

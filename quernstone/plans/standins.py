@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quernstone.session import table
 
 #: Judges' criteria and the weights of the two score definitions.
-CRITERIA = ("correctness", "completeness", "clarity", "technical_accuracy", "logical_flow")
+CRITERIA = tuple("correctness completeness clarity technical_accuracy logical_flow".split())
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,7 +168,7 @@ def test_judgement_fallback_and_clip(spark):
 
 
 def test_response_blank_reasoning(spark):
-    text = '{"reasoning": "' + " " * 60 + '", "vulnerabilities": [], "verdict": {"is_vulnerable": false, "cwe_list": []}}'
+    text = '{"reasoning": "' + " " * 60 + '", "verdict": {"cwe_list": [], "is_vulnerable": false}, "vulnerabilities": []}'
     df = spark.createDataFrame([(text,), (None,)], "t string")
     assert [r.e for r in df.select(responses.response_error(F.col("t")).alias("e")).collect()] == ["empty_reasoning", "empty_response"]
 
@@ -201,7 +201,7 @@ def test_ecdf_and_histogram_edges(spark):
 def test_readers_and_writers(spark, tmp_path):
     path = str(tmp_path / "a.jsonl")
     with open(path, "w") as out:
-        out.write('{"func": "f", "target": 1, "cwe": ["A"], "project": "p"}\n\n{broken\n{"func": "g", "target": 0, "cwe": [], "project": "q"}\n')
+        out.write('{"func": "f", "target": 1, "cwe": ["A"], "project": "p"}\n\n{broken\n{"project": "q", "cwe": [], "func": "g", "target": 0}\n')
     with pytest.raises(Exception):
         readers.strict(spark, path).collect()
     assert readers.lenient(spark, path).select("func", "target").count() == 2
