@@ -341,3 +341,21 @@ def test_pipeline(spark, rows, items):
     for r in corpus_pipeline.run(spark, FOLDER).collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + r.tokens
     assert got == want
+
+
+def test_sides_above_the_broadcast_limit(spark, monkeypatch, rows):
+    """Shuffled instead of broadcast sides give the same rows."""
+    from quernstone.llm import common
+
+    docs = table(spark, FOLDER, "documents")
+    key = lambda df: sorted(map(repr, df.collect()))
+    asked = {
+        "spans": lambda: suffixdedup.spans(docs).drop("first_doc_ids"), "strip": lambda: suffixdedup.remove_repeats(docs), "groups": lambda: simhash.groups(docs, shard_rows=20), "one": lambda: simhash.keep_one(docs),
+        "leaves": lambda: kdshard.assign(docs, 40_000, local_rows=50),
+    }
+    before = {k: key(f()) for k, f in asked.items()}
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(suffixdedup, "BROADCAST_BYTES", 0)
+    assert {k: key(f()) for k, f in asked.items()} == before
+    left = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    assert left == {d for d, _ in rows} - {d for d, _ in brute.near_groups(rows)}
