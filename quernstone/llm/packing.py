@@ -31,7 +31,7 @@ SHARD_TOKENS = 64_000_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Word counts that a worker remembers; beyond it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 
 
 @lru_cache(maxsize=2)
