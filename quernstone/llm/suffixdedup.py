@@ -382,7 +382,7 @@ def spans(docs: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
 
 
 def strip(column: pa.Array, lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Texts without the word ranges listed (structs of start and stop, in order), and whether any word is left."""
+    """Texts without the word ranges listed (structs of start and stop, in order; they may overlap or nest), and whether any word is left."""
     out, left = column.to_pylist(), np.ones(len(column), np.bool_)
     touched = [i for i, x in enumerate(lists.to_pylist()) if x]
     for i in touched:
@@ -393,7 +393,7 @@ def strip(column: pa.Array, lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
             a, b = min(x["start"], n), min(x["stop"], n)
             if a < b:
                 parts.append(data[at : words.start[a]])
-                at = int(words.end[b - 1])
+                at = max(at, int(words.end[b - 1]))
         parts.append(data[at:])
         out[i] = b"".join(parts).decode("utf-8", "replace")
         left[i] = len(textscan.scan(pa.array([out[i]], pa.large_string()), hashes=False).start) > 0

@@ -48,6 +48,21 @@ def test_decontamination(docs, none, benchmark):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted((r[0] or -1) for r in ROWS if r[0] != 12)
 
 
+def test_decontamination_of_nested_spans(spark):
+    """Items that share a run, and an item that repeats one, give spans within spans; no word of them stays."""
+    stock = "which of the following statements about it is true "
+    one = " ".join(f"a{i}" for i in range(30)) + " " + stock + " ".join(f"b{i}" for i in range(21))
+    two = "c1 c2 " + stock + "c3 c4 " + stock + "c5"
+    own = " ".join(f"own{i}" for i in range(200))
+    items = spark.createDataFrame([(1, one), (2, two)], "item_id long, text string")
+    made = spark.createDataFrame([(1, f"{own}. {one}. {own}", 0), (2, f"{own}. {two}. {own}", 0), (3, own, len(own))], "doc_id long, text string, n_chars long")
+    found = decontaminate.spans(made, items).collect()
+    assert any(x.start < y.start and y.stop < x.stop for x in found for y in found if x.doc_id == y.doc_id)
+    left = {r.doc_id: r for r in decontaminate.remove(made, items).collect()}
+    assert [left[i].text for i in (1, 2, 3)] == [f"{own}. . {own}"] * 2 + [own]
+    assert all(r.n_chars == len(r.text) for r in left.values())
+
+
 def test_kd_sharding(docs, none):
     got = kdshard.assign(docs, target_bytes=500).collect()
     assert len(got) == len(ROWS)
