@@ -5,6 +5,12 @@ of n-grams, n = 1 .. 3, of the lower-cased UTF-8 bytes, mapped to 64 classes (le
 digits, all else). 1- and 2-grams have a column each; 3-grams are hashed to TRIGRAMS columns. Classifiers are
 one-versus-rest kernel ridge regressions on Nystroem features of landmark documents; since features and weights are
 linear in the kernel row, a batch is scored by two matrix products.
+
+A text that is in none of the languages has low scores for all, but so have short texts in one of them. The best score
+must therefore reach a floor that depends on the number of distinct grams of the text. Floors are set on labelled rows
+that the scoring model has not seen (each half of the sample is scored by a model of the other half), taken whole and
+cut to their first words, so that at most LOST of the rows that are rightly recognised fall below, and go no higher
+than HIGHEST, which random strings and unseen languages seldom reach, so that little else is rejected.
 """
 
 from __future__ import annotations
@@ -23,6 +29,13 @@ TRIGRAM_BITS = 13
 COLUMNS = 64 + 4096 + (1 << TRIGRAM_BITS)
 #: Rows of one presence matrix.
 BLOCK = 192
+#: Share of the held-out rows, at each size, that floors may reject, the highest floor, and the fewest held-out texts that set one.
+LOST = 0.005
+HIGHEST = 0.1
+FLOOR_ROWS = 50
+#: Distinct grams at which the floor changes, and the beginnings (words) of the held-out rows that set floors of small sizes.
+SIZES = np.array([48, 64, 96, 128, 192, 256, 384, 512, 768, 1024])
+BEGINNINGS = (5, 10, 20, 40)
 
 CLASS = np.zeros(256, np.uint32)
 for _i, _c in enumerate(b"abcdefghijklmnopqrstuvwxyz"):
@@ -36,11 +49,12 @@ for _c in range(128, 256):
 
 @dataclass
 class Model:
-    """languages in order; landmarks (columns x landmarks) scaled by their norms; weights (landmarks x languages)."""
+    """languages in order; landmarks (columns x landmarks) scaled by their norms; weights (landmarks x languages); floors of the best score, by range of SIZES."""
 
     languages: list[str]
     landmarks: np.ndarray
     weights: np.ndarray
+    floors: np.ndarray
 
 
 def presence(column: pa.Array) -> np.ndarray:
@@ -68,51 +82,83 @@ def presence(column: pa.Array) -> np.ndarray:
     return out.reshape(rows + 1, COLUMNS)[:rows]
 
 
-def kernel(column: pa.Array, landmarks: np.ndarray) -> np.ndarray:
-    """Kernel of each text against scaled landmarks."""
+def kernel(column: pa.Array, landmarks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Kernel of each text against scaled landmarks, and its number of distinct grams."""
     found = presence(column).astype(np.float32)
-    size = np.sqrt(np.maximum(found.sum(1), 1))
-    return (found @ landmarks) / size[:, None]
+    size = found.sum(1)
+    return (found @ landmarks) / np.sqrt(np.maximum(size, 1))[:, None], size
 
 
 def fit(texts: list[str], languages: list[str], landmarks: int = 128, ridge: float = 0.05) -> Model:
-    """Fit on labelled texts; every k-th text of each language is a landmark."""
+    """Fit on labelled texts; every k-th text of each language is a landmark. Floors are those of calibrate()."""
+    model = fit_weights(texts, languages, landmarks, ridge)
+    model.floors = calibrate(texts, languages, landmarks, ridge)
+    return model
+
+
+def calibrate(texts: list[str], languages: list[str], landmarks: int, ridge: float) -> np.ndarray:
+    """Floors by range of SIZES, not decreasing; without enough held-out texts of a range or a smaller one, minus infinity."""
+    order = sorted(range(len(texts)), key=lambda i: (languages[i], i))
+    best, size = [np.zeros(0)], [np.zeros(0)]
+    for one, two in ((order[::2], order[1::2]), (order[1::2], order[::2])):
+        if not one or not two:
+            continue
+        model = fit_weights([texts[i] for i in one], [languages[i] for i in one], landmarks, ridge)
+        own = np.array([languages[i] for i in two])
+        for words in (None, *BEGINNINGS):
+            cut = [texts[i] if words is None else " ".join(texts[i].split(None, words)[:words]) for i in two]
+            scores, grams = score(textscan.strings(pa.array(cut, pa.large_string())), model)
+            right = np.array(model.languages)[scores.argmax(1)] == own
+            best.append(scores.max(1)[right])
+            size.append(grams[right])
+    best, at = np.concatenate(best), np.searchsorted(SIZES, np.concatenate(size), "right")
+    floors = [np.quantile(best[at == k], LOST, method="lower") if (at == k).sum() >= FLOOR_ROWS else -np.inf for k in range(len(SIZES) + 1)]
+    return np.minimum(np.maximum.accumulate(np.array(floors, np.float64)), HIGHEST)
+
+
+def fit_weights(texts: list[str], languages: list[str], landmarks: int, ridge: float) -> Model:
+    """Model without floors."""
     names = sorted(set(languages))
+    none = np.full(len(SIZES) + 1, -np.inf)
     if not names:
-        return Model([], np.zeros((COLUMNS, 0), np.float32), np.zeros((0, 0), np.float32))
+        return Model([], np.zeros((COLUMNS, 0), np.float32), np.zeros((0, 0), np.float32), none)
     order = sorted(range(len(texts)), key=lambda i: (languages[i], i))
     chosen = order[:: max(1, -(-len(order) // landmarks))]
     column = textscan.strings(pa.array(texts, pa.large_string()))
     base = presence(column.take(pa.array(chosen))).astype(np.float32)
     base /= np.sqrt(np.maximum(base.sum(1), 1))[:, None]
-    rows = np.concatenate([kernel(column.slice(i, BLOCK), base.T) for i in range(0, len(texts), BLOCK)]).astype(np.float64)
+    rows = np.concatenate([kernel(column.slice(i, BLOCK), base.T)[0] for i in range(0, len(texts), BLOCK)]).astype(np.float64)
     values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
     root = vectors * np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0) @ vectors.T
     features = rows @ root
     truth = np.where(np.array(languages)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     solved = np.linalg.solve(features.T @ features + ridge * np.eye(features.shape[1]), features.T @ truth)
-    return Model(names, np.ascontiguousarray(base.T), (root @ solved).astype(np.float32))
+    return Model(names, np.ascontiguousarray(base.T), (root @ solved).astype(np.float32), none)
 
 
-def score(column: pa.Array, model: Model) -> np.ndarray:
-    """One-versus-rest scores (rows x languages)."""
-    found = []
+def score(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """One-versus-rest scores (rows x languages), and the number of distinct grams of each row."""
+    found, sizes = [np.zeros((0, len(model.languages)), np.float32)], [np.zeros(0, np.float32)]
     for i in range(0, len(column), BLOCK):
         block = column.slice(i, min(BLOCK, len(column) - i))
-        found.extend(kernel(block.slice(a, b - a), model.landmarks) @ model.weights for a, b in textscan.pieces(block))
-    return np.concatenate(found) if found else np.zeros((0, len(model.languages)), np.float32)
+        for a, b in textscan.pieces(block):
+            near, size = kernel(block.slice(a, b - a), model.landmarks)
+            found.append(near @ model.weights)
+            sizes.append(size)
+    return np.concatenate(found), np.concatenate(sizes)
 
 
 def decide(column: pa.Array, model: Model, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best language (index), margin to the second, and whether the text is accepted."""
-    scores = score(column, model)
+    scores, size = score(column, model)
     data, offsets = textscan.raw(column)
     letters = np.zeros(len(data) + 1, np.int64)
     np.cumsum(textscan.WORD[data] & ((data < 48) | (data > 57)), out=letters[1:])
     lettered = letters[offsets[1:]] > letters[offsets[:-1]]
     ranked = np.sort(scores, 1)
     margin = ranked[:, -1] - ranked[:, -2] if scores.shape[1] > 1 else ranked[:, -1]
-    return scores.argmax(1), margin, lettered & (margin >= least)
+    known = ranked[:, -1] >= model.floors[np.searchsorted(SIZES, size, "right")]
+    return scores.argmax(1), margin, lettered & known & (margin >= least)
 
 
 def labelled(docs: DataFrame, rows: int) -> tuple[list[str], ...]:
@@ -135,7 +181,9 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("margin", pa
 def identify(docs: DataFrame, model: Model | None = None, least: float = 0.02, sample_rows: int = 1024) -> DataFrame:
     """(doc_id, lang, margin, keep) for every row of docs.
 
-    keep is false if the text has no letter or the best score leads the second by less than least. Null text counts
+    keep is false if the text has no letter, the best score leads the second by less than least, or it is below the
+    floor for texts of that size (the text is in none of the languages). Floors need some 50 labelled rows; with less,
+    and for texts of a few words, unseen languages cannot be told apart and may be kept. Null text counts
     as empty; empty text has lang null and is not kept. A null doc_id is passed through. Repeated rows get one row
     each. Without any labelled row nothing can be told apart: lang is null and every row is kept. Texts of any
     length are used whole. Columns other than doc_id, text and lang are not looked at.

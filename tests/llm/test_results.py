@@ -150,6 +150,28 @@ def test_language_holds_out(spark):
     assert len(got) == 200
 
 
+def test_language_of_none():
+    """Random strings and languages that no labelled row has are rejected, texts of the labelled languages are not."""
+    t = pq.read_table("/root/testdata/sf0.1/documents.parquet").to_pandas().sample(frac=1, random_state=1)
+    model = langkernel.fit(t.text[:1024].tolist(), t.lang[:1024].tolist())
+    kept = lambda texts: langkernel.decide(textscan.strings(pa.array(texts, pa.large_string())), model, 0.02)[2]
+    rng = random.Random(2)
+    for n in (60, 300, 2000):
+        assert kept(["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for _ in range(100)]).mean() <= 0.05
+        assert kept([base64.b64encode(rng.randbytes(n * 3 // 4)).decode() for _ in range(100)]).mean() <= 0.05
+    unseen = [
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa.",
+        "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+        "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Minden emberi lény szabadon születik és egyenlő méltósága és joga van. Az emberek egymással szemben testvéri szellemben kell hogy viseltessenek.",
+    ]
+    assert not kept(unseen).any()
+    rest = t.text[1024:3024].tolist()
+    assert kept(["All human beings are born free and equal in dignity and rights. They are endowed with reason and conscience."]).all() and kept(rest).mean() > 0.99
+    assert all(kept([" ".join(x.split()[:n]) for x in rest]).mean() > 0.98 for n in (5, 10, 40))
+
+
 def test_arc_round_trip(spark):
     pages = {r.page_id: (r.url, r.html) for r in table(spark, FOLDER, "pages").collect()}
     got = run(spark, "op6_arc_to_warc").collect()
