@@ -109,6 +109,12 @@ def canonical(url: Column) -> Column:
     return F.regexp_replace(u, "[?&]+$|/+$|/+[?]+$", "")
 
 
+def closed(url: Column) -> Column:
+    """A canonical URL with the slash that a host's root page has, or that a directory's URL may have; one with a query after a path, or an empty one, as it is."""
+    host = F.regexp_replace(url, "^([^/?]*://[^/?]+)[?]", "$1/?")
+    return F.when(url.contains("?") | (url == ""), host).otherwise(F.concat(url, F.lit("/")))
+
+
 def canonical_sql(url: str) -> str:
     """canonical() in DuckDB's SQL."""
     u = f"regexp_replace(lower(trim({url})), '#.*$', '')"
@@ -129,8 +135,8 @@ RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("canonical_u
 def judge(pages: DataFrame, deny: Sequence[str] = DENY, allow: Sequence[str] = ALLOW) -> DataFrame:
     """(page_id, url, canonical_url, rules, allowed, keep) for every row.
 
-    rules are the deny globs that the canonical URL matches, in the order given; allowed says whether an allow glob
-    matches; a page is dropped if rules is not empty and it is not allowed. A null URL has null canonical_url and
+    rules are the deny globs that the canonical URL matches, with or without its closing slash, in the order given, so
+    that */ads/* holds for the URL of the directory too; allowed says whether an allow glob matches in the same way; a page is dropped if rules is not empty and it is not allowed. A null URL has null canonical_url and
     allowed, no rules, and is kept; an empty URL is matched as it is. Repeated rows get a row each; URLs of any length
     are matched whole. Columns other than page_id and url are not looked at.
     """
@@ -140,17 +146,17 @@ def judge(pages: DataFrame, deny: Sequence[str] = DENY, allow: Sequence[str] = A
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
-            column = textscan.strings(got["canonical_url"], lower=False)
+            column, other = (textscan.strings(got[c], lower=False) for c in ("canonical_url", "closed_url"))
             for a, b in textscan.pieces(column, 8 << 20):
                 there = got["url"].slice(a, b - a).is_valid().to_numpy(zero_copy_only=False)
-                found = match(column.slice(a, b - a), automaton) & there[:, None]
+                found = (match(column.slice(a, b - a), automaton) | match(other.slice(a, b - a), automaton)) & there[:, None]
                 row, rule = np.nonzero(found[:, :count])
                 ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=b - a)))).astype(np.int32)
                 rules = pa.ListArray.from_arrays(pa.array(ends), pa.array(names[rule], pa.string()))
                 allowed = found[:, count:].any(1)
                 yield batch(RESULT, got["page_id"].slice(a, b - a), got["url"].slice(a, b - a), got["canonical_url"].slice(a, b - a), rules, pa.array(allowed, mask=~there), ~found[:, :count].any(1) | allowed)
 
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", canonical(F.col("url")).alias("canonical_url"))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", canonical(F.col("url")).alias("canonical_url")).withColumn("closed_url", closed(F.col("canonical_url")))
     return arrow_map(own, run, "page_id long, url string, canonical_url string, rules array<string>, allowed boolean, keep boolean")
 
 

@@ -90,6 +90,20 @@ def test_url_filter(spark):
     assert all(r.keep and not r.rules for r in urlglob.judge(pages, [], []).collect())
 
 
+def test_url_filter_of_roots_and_directories(spark):
+    """Globs that ask for a slash hold for a host's root page and a directory's URL, though the canonical URL has none at its end."""
+    want = {
+        "http://foo.xxx/": (["*://*.xxx/*"], False), "http://foo.xxx": (["*://*.xxx/*"], False), "http://foo.xxx?q=1": (["*://*.xxx/*"], False), "http://foo.xxx/?utm_source=a": (["*://*.xxx/*"], False), "http://foo.xxx/a": (["*://*.xxx/*"], False),
+        "http://x.com/ads/": (["*/ads/*"], False), "http://x.com/ads/a": (["*/ads/*"], False), "http://viagra.gov/": (["*://*viagra*"], True), "http://a.gov/": ([], True), "http://x.com/": ([], False),
+        "http://x.com/a?to=/ads": ([], False), "http://x.com/uploads/": ([], False), "http://x.com/login/": (["*/login", "*/login/*"], False), "http://x.com/a.zip/": (["*.zip"], False), "": ([], False),
+    }
+    pages = spark.createDataFrame(list(enumerate(want)), "page_id long, url string")
+    got = {r.url: r for r in urlglob.judge(pages).collect()}
+    assert {u: (r.rules, r.allowed) for u, r in got.items()} == want
+    assert all(r.keep == (r.allowed or not r.rules) for r in got.values())
+    assert not got["http://x.com/"].canonical_url.endswith("com/")
+
+
 def test_language_id(docs, none):
     got = langkernel.identify(docs).collect()
     assert len(got) == len(ROWS)
