@@ -7,7 +7,7 @@ the connected components of that relation. Documents with equal words are exact
 Search. Signatures are sharded by bands of bits drawn at random; a shard holds the signatures that agree in one band. Each shard is a BK-tree (children keyed by the Hamming distance to their parent),
 and every signature is a query to its own shards' trees, where only edges within RADIUS of its distance to the node
 are followed. The band grows with the logarithm of the corpus, so that shards stay small, and the number of bands
-grows with it so that a pair at three quarters of RADIUS is found with probability 0.9 and nearer ones more surely
+grows with it so that a pair at RADIUS itself is found with probability 0.9 and nearer ones more surely, at any size
 (pairs with one word in twenty changed lie near RADIUS / 2). Recall against brute force is measured in the tests. Trees are delivered to their queries by the shuffle that forms the shards,
 because a broadcast of all trees would grow with the corpus. A shard above SHARD_ROWS is split into several trees
 and its queries go to each of them, so that no task grows with a hot shard and none of its pairs is lost.
@@ -94,13 +94,14 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def band_bits(n: int) -> int:
-    """Bits of a band for n signatures. Unrelated signatures agree in about half of their bits, so a shard holds about sixteen of them at any n."""
-    return max(8, math.ceil(math.log2(max(n, 2))) - 4)
+    """Bits of a band for n signatures. Unrelated signatures agree in about half of their bits, so a shard holds about 128 of them at any n: narrower bands cost distances, wider ones more bands and so more shuffle."""
+    return max(8, math.ceil(math.log2(max(n, 2))) - 7)
 
 
 def tables(bits: int, radius: int) -> int:
-    """Bands needed to find a pair at three quarters of the radius with probability 0.9."""
-    return math.ceil(math.log(0.1) / math.log(1 - (1 - 0.75 * radius / BITS) ** bits))
+    """Bands needed to find a pair at the radius with probability 0.9."""
+    agree = math.prod((BITS - radius - i) / (BITS - i) for i in range(bits))  # a band's positions are distinct
+    return math.ceil(math.log(0.1) / math.log1p(-agree)) if 0 < agree < 1 else 1
 
 
 def band_positions(bits: int, count: int) -> np.ndarray:

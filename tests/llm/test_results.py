@@ -316,6 +316,22 @@ def test_simhash_recall(spark):
         assert len(found & want) >= 0.95 * len(want) and len({d for d, _ in found} - {d for d, _ in want}) == 0
 
 
+@pytest.mark.parametrize("n", [1_000, 250_000, 6_000_000])
+def test_simhash_bands_reach_the_radius(n):
+    """Pairs at the radius share a band with probability 0.9 at the band width of any corpus."""
+    bits = simhash.band_bits(n)
+    bands = simhash.band_positions(bits, simhash.tables(bits, simhash.RADIUS))
+    rng = np.random.default_rng(4)
+    one = rng.integers(0, 2, (4000, simhash.BITS), dtype=np.uint8)
+    for away in (26, 39, simhash.RADIUS):
+        two = one.copy()
+        for row in two:
+            row[rng.choice(simhash.BITS, away, replace=False)] ^= 1
+        a, b = (np.packbits(x, axis=1, bitorder="little").view(np.uint64) for x in (one, two))
+        assert (simhash.distance(a, b) == away).all()
+        assert (simhash.band_keys(a, bands) == simhash.band_keys(b, bands)).any(0).mean() >= 0.88
+
+
 def test_weak_supervision(spark):
     rng = np.random.default_rng(2)
     y = rng.random(4000) < 0.7
