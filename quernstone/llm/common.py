@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quernstone.session import ship
 
@@ -37,10 +37,21 @@ def small(df: DataFrame, width: int, limit: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.count() * width <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
-def without(docs: DataFrame, removed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs without the rows whose key is in the first column of removed. Rows with a null key stay. Columns of docs are unchanged."""
-    gone = removed.select(F.col(removed.columns[0]).alias("__removed_key")).distinct()
-    return docs.join(small(gone, 16), docs[key] == F.col("__removed_key"), "left_anti")
+def row_key(docs: DataFrame) -> Column:
+    """64 bits of doc_id and text: what tells rows apart that share a doc_id. It is never used without doc_id, so a collision harms only rows of one doc_id."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own, made from names, that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
 
 
 def segment_sum(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:

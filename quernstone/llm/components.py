@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from quernstone.session import cut
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every id in edges (a, b): root is the least id of its component.
 
     Alternates large-star and small-star rounds until nothing changes; the number of rounds grows with the logarithm
@@ -15,7 +15,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     count once. An empty table gives an empty result.
     """
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    for _ in range(most_rounds):
+    while True:
         both = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))
         low = both.groupBy("a").agg(F.collect_set("b").alias("near"), F.min("b").alias("least"))
         large = low.select(F.explode("near").alias("x"), F.least("a", "least").alias("m"), "a").filter("x > a AND x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct()
@@ -26,4 +26,3 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         now = small
         if (one.n, one.h) == (two.n, two.h):
             return now.select(F.col("a").alias("id"), F.col("b").alias("root")).union(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
-    raise RuntimeError("components did not settle")

@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quernstone.llm import textscan
-from quernstone.llm.common import arrow_map, batch, combined
+from quernstone.llm.common import arrow_map, batch, combined, row_key
 from quernstone.llm.suffixdedup import remove_ranges
 from quernstone.session import cut
 
@@ -61,6 +61,12 @@ def build(rows: list[tuple[int, str]], gram: int = GRAM) -> Grams:
     return grams
 
 
+def run_of(x: np.ndarray, y: np.ndarray) -> int:
+    """How many of the first words are equal."""
+    equal = x == y
+    return len(equal) if equal.all() else int(equal.argmin())
+
+
 def hits(words: textscan.Words, grams: Grams, bitmaps: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     """(document, item, start, stop) of the longest common runs around gram hits, word numbers within the document."""
     found = []
@@ -86,31 +92,31 @@ def hits(words: textscan.Words, grams: Grams, bitmaps: list[np.ndarray]) -> tupl
                 continue
             if (words.hash[a : a + size] != grams.words[a - o : a - o + size]).any():
                 continue
-            b, e = a, a + size
-            while b > words.ptr[d] and b - o > grams.ptr[m] and words.hash[b - 1] == grams.words[b - o - 1]:
-                b -= 1
-            while e < words.ptr[d + 1] and e - o < grams.ptr[m + 1] and words.hash[e] == grams.words[e - o]:
-                e += 1
+            back = min(a - int(words.ptr[d]), a - o - int(grams.ptr[m]))
+            b = a - run_of(words.hash[a - back : a][::-1], grams.words[a - o - back : a - o][::-1])
+            ahead = min(int(words.ptr[d + 1]) - a, int(grams.ptr[m + 1]) - (a - o))
+            e = a + run_of(words.hash[a : a + ahead], grams.words[a - o : a - o + ahead])
             last = (d, m, o, e)
             found.append((d, m, b - int(words.ptr[d]), e - int(words.ptr[d])))
     found = np.array(sorted(set(found)), np.int64).reshape(-1, 4)
     return found[:, 0], grams.ids[found[:, 1]], found[:, 2], found[:, 3]
 
 
-HIT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("doc_words", pa.int32())])
+HIT = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("doc_words", pa.int32())])
 
 
 def spans(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, set_words: int = SET_WORDS) -> DataFrame:
-    """(doc_id, item_id, start, stop, doc_words): runs of at least gram words that a document shares with a benchmark item.
+    """(doc_id, row, item_id, start, stop, doc_words): runs of at least gram words that a document shares with a benchmark item.
 
-    start and stop are word numbers. Items of less than gram words count when the whole item occurs. Null, empty or
+    start and stop are word numbers. row is the key of the row's doc_id and text: rows of one doc_id with different
+    texts are documents of their own. Items of less than gram words count when the whole item occurs. Null, empty or
     wordless texts and items never match; rows with a null doc_id are left out; a repeated row gives its spans once.
     Without items, or on an empty table, the result is empty. The benchmark's grams are broadcast in parts of at most
     set_words words, so that a benchmark of any size is scanned for in as many passes as it needs. Columns other than
     doc_id, text, item_id are not looked at.
     """
     wanted = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key(docs).alias("row")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     total = wanted.agg(F.sum(F.length("text") / 2).alias("n")).first().n or 0
     parts = max(1, -(-int(total) // set_words))
     out = None
@@ -120,31 +126,42 @@ def spans(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, set_words: in
         def run(batches: Iterator[pa.RecordBatch], grams: Grams = grams) -> Iterator[pa.RecordBatch]:
             bitmaps = [np.unpackbits(b).view(np.bool_) for b in grams.bitmaps]
             for got in batches:
-                column, ids = textscan.strings(got["text"]), combined(got["doc_id"]).to_numpy()
+                column, ids, keys = textscan.strings(got["text"]), combined(got["doc_id"]).to_numpy(), combined(got["row"]).to_numpy()
                 for a, b in textscan.pieces(column):
                     words = textscan.scan(column.slice(a, b - a))
                     doc, item, start, stop = hits(words, grams, bitmaps)
                     if len(doc):
-                        yield batch(HIT, ids[a:b][doc], item, start.astype(np.int32), stop.astype(np.int32), np.diff(words.ptr)[doc].astype(np.int32))
+                        yield batch(HIT, ids[a:b][doc], keys[a:b][doc], item, start.astype(np.int32), stop.astype(np.int32), np.diff(words.ptr)[doc].astype(np.int32))
 
-        found = arrow_map(own, run, "doc_id long, item_id long, start int, stop int, doc_words int")
+        found = arrow_map(own, run, "doc_id long, row long, item_id long, start int, stop int, doc_words int")
         out = found if out is None else out.unionByName(found)
     return out.distinct()
 
 
-def verdicts(found: DataFrame, share: float = DOCUMENT_SHARE) -> DataFrame:
+def keyed_verdicts(found: DataFrame, share: float = DOCUMENT_SHARE) -> DataFrame:
     """spans() with covered_share (of the document's words, overlaps counted once) and action: 'document' if that reaches share, else 'span'."""
-    word = F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence("start", F.col("stop") - 1)))))
-    covered = found.groupBy("doc_id").agg((word / F.max("doc_words")).alias("covered_share"))
-    out = found.join(covered, "doc_id").withColumn("covered_share", F.round("covered_share", 6))
-    return out.withColumn("action", F.when(F.col("covered_share") >= share, "document").otherwise("span"))
+    document = Window.partitionBy("doc_id", "row")
+    reach = F.max("stop").over(document.orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce("reach", F.lit(0))))
+    ratio = F.sum("new").over(document) / F.col("doc_words")
+    out = found.withColumn("reach", reach).withColumn("new", new).withColumn("ratio", ratio)
+    out = out.withColumn("covered_share", F.round("ratio", 6)).withColumn("action", F.when(F.col("covered_share") >= share, "document").otherwise("span"))
+    return out.drop("reach", "new", "ratio")
+
+
+def verdicts(found: DataFrame, share: float = DOCUMENT_SHARE) -> DataFrame:
+    """keyed_verdicts() without the row's key."""
+    return keyed_verdicts(found, share).drop("row")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, share: float = DOCUMENT_SHARE) -> DataFrame:
-    """docs without benchmark text: its spans are cut out, and documents mostly made of it go. All other rows are unchanged, those with a null doc_id too."""
-    found = cut(verdicts(spans(docs, benchmark, gram), share))
-    whole = found.filter("action = 'document'").select("doc_id", F.lit(0).alias("start"), F.col("doc_words").alias("stop"))
-    return remove_ranges(docs, found.filter("action = 'span'").select("doc_id", "start", "stop").unionByName(whole))
+    """docs without benchmark text: its spans are cut out, and documents mostly made of it go.
+
+    All other rows are unchanged, those with a null doc_id too. Rows that share a doc_id and differ in text are judged and cut each by its own text.
+    """
+    found = cut(keyed_verdicts(spans(docs, benchmark, gram), share))
+    whole = found.filter("action = 'document'").select("doc_id", "row", F.lit(0).alias("start"), F.col("doc_words").alias("stop"))
+    return remove_ranges(docs, found.filter("action = 'span'").select("doc_id", "row", "start", "stop").unionByName(whole))
 
 
 def verdicts_sql(gram: int = GRAM, share: float = DOCUMENT_SHARE) -> str:

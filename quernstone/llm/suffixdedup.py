@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quernstone.llm import textscan
-from quernstone.llm.common import BROADCAST_BYTES, arrow_map, batch, combined, small
+from quernstone.llm.common import BROADCAST_BYTES, arrow_map, batch, combined, row_key, unused
 from quernstone.session import cut, ship
 
 LENGTH = 50
@@ -37,9 +37,9 @@ SPAN = LENGTH - GRAM + 1  # gram positions in a window; also the most words afte
 CONTEXT = LENGTH - GRAM
 #: Suffixes whose windows are compared at a time (more where one gram has more).
 BLOCK = 10_000
-#: Suffixes of a run, and ranges of the first letter for each shuffle partition.
+#: Suffixes of a run, and of a range of the first letter on average.
 RUN_ROWS = 1 << 16
-RANGES = 4
+RANGE_ROWS = 1 << 16
 
 
 def anchors(words: textscan.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,13 +58,14 @@ def anchors(words: textscan.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return gram, begin, place[begin].astype(np.int64)
 
 
-SPAN_ROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("first_doc_id", pa.int64())])
-ANCHOR = pa.schema([("gram", pa.int64()), ("doc_id", pa.int64()), ("word", pa.int32())])
+SPAN_ROW = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("first_doc_id", pa.int64())])
+SPAN_DDL = "doc_id long, row long, start int, stop int, first_doc_id long"
+ANCHOR = pa.schema([("gram", pa.int64()), ("row", pa.int64()), ("word", pa.int32())])
 
 
 def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for got in batches:
-        column, ids = textscan.strings(got["text"]), combined(got["doc_id"]).to_numpy()
+        column, keys = textscan.strings(got["text"]), combined(got["row"]).to_numpy()
         for a, b in textscan.pieces(column):
             words = textscan.scan(column.slice(a, b - a))
             gram, _, place = anchors(words)
@@ -72,7 +73,7 @@ def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             place = place[np.append(True, place[1:] != place[:-1])]
             doc = np.searchsorted(words.ptr, place, "right") - 1
-            yield batch(ANCHOR, gram[place].view(np.int64), ids[a:b][doc], (place - words.ptr[doc]).astype(np.int32))
+            yield batch(ANCHOR, gram[place].view(np.int64), keys[a:b][doc], (place - words.ptr[doc]).astype(np.int32))
 
 
 def ragged(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -92,7 +93,7 @@ def grid(flat: np.ndarray, size: np.ndarray, skip: np.ndarray | int = 0) -> np.n
     return out
 
 
-def encode(gram, right, right_size, left_flat, left_size, ids, place) -> bytes:
+def encode(gram, right, right_size, left_flat, left_size, ids, keys, place) -> bytes:
     """A sorted piece of a run, front-coded. right is a grid; all else by suffix."""
     same = np.zeros(len(gram), np.int64)
     if len(gram) > 1:
@@ -101,12 +102,12 @@ def encode(gram, right, right_size, left_flat, left_size, ids, place) -> bytes:
     drop = np.maximum(same - 1, 0)
     keep = np.arange(CONTEXT)[None, :]
     flat = right[(keep >= drop[:, None]) & (keep < right_size[:, None])]
-    parts = [np.array([len(gram)], np.int64), gram[same == 0], ids, place.astype(np.int32), same.astype(np.uint8), right_size.astype(np.uint8), left_size.astype(np.uint8), flat, left_flat]
+    parts = [np.array([len(gram)], np.int64), gram[same == 0], ids, keys, place.astype(np.int32), same.astype(np.uint8), right_size.astype(np.uint8), left_size.astype(np.uint8), flat, left_flat]
     return b"".join(p.tobytes() for p in parts)
 
 
 def decode(data: bytes) -> tuple[np.ndarray, ...]:
-    """(gram, right grid, right sizes, left grid, left sizes, ids, places, shared prefix lengths) of a piece."""
+    """(gram, right grid, right sizes, left grid, left sizes, ids, row keys, places, shared prefix lengths) of a piece."""
     n = int(np.frombuffer(data, np.int64, 1)[0])
     at = 8
 
@@ -117,7 +118,7 @@ def decode(data: bytes) -> tuple[np.ndarray, ...]:
         return got
 
     heads = int.from_bytes(data[-8:], "little")  # suffixes with a first letter of their own
-    gram_heads, ids, place = take(np.uint64, heads), take(np.int64, n), take(np.int32, n)
+    gram_heads, ids, keys, place = take(np.uint64, heads), take(np.int64, n), take(np.int64, n), take(np.int32, n)
     same, right_size, left_size = take(np.uint8, n).astype(np.int64), take(np.uint8, n).astype(np.int64), take(np.uint8, n).astype(np.int64)
     gram = gram_heads[np.cumsum(same == 0) - 1]
     drop = np.maximum(same - 1, 0)
@@ -126,7 +127,7 @@ def decode(data: bytes) -> tuple[np.ndarray, ...]:
     for c in range(int(drop.max(initial=0))):
         right[:, c] = right[np.maximum.accumulate(np.where(drop <= c, row, 0)), c]
     left = grid(take(np.uint32, int(left_size.sum())), left_size)
-    return gram, right, right_size, left, left_size, ids, place, same
+    return gram, right, right_size, left, left_size, ids, keys, place, same
 
 
 PIECE = pa.schema([("range", pa.int32()), ("piece", pa.binary())])
@@ -134,16 +135,16 @@ PIECE = pa.schema([("range", pa.int32()), ("piece", pa.binary())])
 LOCAL = -1
 
 
-def pack_spans(ids: np.ndarray, start: np.ndarray, stop: np.ndarray, first: np.ndarray) -> bytes:
-    return np.stack([ids, start, stop, first]).astype(np.int64).tobytes()
+def pack_spans(*columns: np.ndarray) -> bytes:
+    return np.stack(columns).astype(np.int64).tobytes()
 
 
 def local_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of the spans that pack_spans put away."""
     for got in batches:
         for piece in got["piece"]:
-            ids, start, stop, first = np.frombuffer(piece.as_py(), np.int64).reshape(4, -1)
-            yield batch(SPAN_ROW, ids, start.astype(np.int32), stop.astype(np.int32), first)
+            ids, keys, start, stop, first = np.frombuffer(piece.as_py(), np.int64).reshape(5, -1)
+            yield batch(SPAN_ROW, ids, keys, start.astype(np.int32), stop.astype(np.int32), first)
 
 
 def make_runs(ranges: int, most: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +152,7 @@ def make_runs(ranges: int, most: int, batches: Iterator[pa.RecordBatch]) -> Iter
     held: list[tuple[np.ndarray, ...]] = []
 
     def flush() -> pa.RecordBatch:
-        gram, right, right_size, left, left_size, ids, place = (np.concatenate(x) for x in zip(*held))
+        gram, right, right_size, left, left_size, ids, keys, place = (np.concatenate(x) for x in zip(*held))
         held.clear()
         order = np.argsort(gram, kind="stable")
         ranked = gram[order]
@@ -161,23 +162,23 @@ def make_runs(ranges: int, most: int, batches: Iterator[pa.RecordBatch]) -> Iter
         at = np.flatnonzero(tied)
         if len(at):
             mine = order[at]
-            order[at] = mine[np.lexsort((place[mine], ids[mine], *left[mine].T[::-1], *right[mine].T[::-1], gram[mine]))]
-        gram, right, right_size, left, left_size, ids, place = (x[order] for x in (gram, right, right_size, left, left_size, ids, place))
+            order[at] = mine[np.lexsort((place[mine], keys[mine], ids[mine], *left[mine].T[::-1], *right[mine].T[::-1], gram[mine]))]
+        gram, right, right_size, left, left_size, ids, keys, place = (x[order] for x in (gram, right, right_size, left, left_size, ids, keys, place))
         # of suffixes whose whole context is the same, the first stands for all: the others are repeats of it already
         same = np.zeros(len(gram), np.bool_)
         near = np.flatnonzero(gram[1:] == gram[:-1]) + 1
         same[near] = (right_size[near] == right_size[near - 1]) & (left_size[near] == left_size[near - 1]) & (right[near] == right[near - 1]).all(1) & (left[near] == left[near - 1]).all(1)
         head = np.flatnonzero(~same)[np.cumsum(~same) - 1]
-        gone = np.flatnonzero(same & ((ids != ids[head]) | (place != place[head])))
-        local = pack_spans(ids[gone], place[gone] - left_size[gone], place[gone] + GRAM + right_size[gone], ids[head[gone]]) if len(gone) else None
-        gram, right, right_size, left, left_size, ids, place = (x[~same] for x in (gram, right, right_size, left, left_size, ids, place))
+        gone = np.flatnonzero(same & ((ids != ids[head]) | (keys != keys[head]) | (place != place[head])))
+        local = pack_spans(ids[gone], keys[gone], place[gone] - left_size[gone], place[gone] + GRAM + right_size[gone], ids[head[gone]]) if len(gone) else None
+        gram, right, right_size, left, left_size, ids, keys, place = (x[~same] for x in (gram, right, right_size, left, left_size, ids, keys, place))
         part = (gram >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
         cuts = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
         names, blobs = ([], []) if local is None else ([LOCAL], [local])
         column = np.arange(CONTEXT)[None, :]
         for r in np.flatnonzero(np.diff(cuts)):
             s = slice(cuts[r], cuts[r + 1])
-            body = encode(gram[s], right[s], right_size[s], left[s][column < left_size[s][:, None]], left_size[s], ids[s], place[s])
+            body = encode(gram[s], right[s], right_size[s], left[s][column < left_size[s][:, None]], left_size[s], ids[s], keys[s], place[s])
             heads = int((np.append(True, gram[s][1:] != gram[s][:-1])).sum())
             names.append(r)
             blobs.append(body + heads.to_bytes(8, "little"))
@@ -185,7 +186,7 @@ def make_runs(ranges: int, most: int, batches: Iterator[pa.RecordBatch]) -> Iter
 
     rows = 0
     for got in batches:
-        column, ids, lists = textscan.strings(got["text"]), combined(got["doc_id"]).to_numpy(), combined(got["words"])
+        column, ids, keys, lists = textscan.strings(got["text"]), combined(got["doc_id"]).to_numpy(), combined(got["row"]).to_numpy(), combined(got["words"])
         for a, b in textscan.pieces(column):
             words = textscan.scan(column.slice(a, b - a))
             gram, begin, place = anchors(words)
@@ -207,7 +208,7 @@ def make_runs(ranges: int, most: int, batches: Iterator[pa.RecordBatch]) -> Iter
             right_size, left_size = last + LENGTH - where - GRAM, where - first
             right = grid(ragged(word, where + GRAM, right_size), right_size)
             left = grid(ragged(word[::-1], len(word) - where, left_size), left_size)  # nearest word first
-            held.append((gram[where], right, right_size, left, left_size, ids[a:b][doc], where - words.ptr[doc]))
+            held.append((gram[where], right, right_size, left, left_size, ids[a:b][doc], keys[a:b][doc], where - words.ptr[doc]))
             rows += len(where)
             if rows >= most:
                 rows = 0
@@ -300,11 +301,11 @@ def merge(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.nda
     return np.array(order_run, np.int64), np.array(order_at, np.int64), np.array(order_shared, np.int64)
 
 
-def repeats(gram_new: np.ndarray, right, right_size, left, left_size, ids, place) -> pa.RecordBatch:
+def repeats(gram_new: np.ndarray, right, right_size, left, left_size, ids, keys, place) -> pa.RecordBatch:
     """Windows of a merged suffix array that occur before; gram_new marks where the first letter changes."""
-    rank = np.lexsort((place, ids))
+    rank = np.lexsort((place, keys, ids))
     group = np.cumsum(gram_new)[rank].astype(np.uint64)
-    right, right_size, left, left_size, ids, place = (x[rank] for x in (right, right_size, left, left_size, ids, place))
+    right, right_size, left, left_size, ids, keys, place = (x[rank] for x in (right, right_size, left, left_size, ids, keys, place))
     n = len(ids)
     factor = np.uint64(textscan.BASE)
     before, after = np.zeros((n, SPAN), np.uint64), np.zeros((n, SPAN), np.uint64)
@@ -321,25 +322,25 @@ def repeats(gram_new: np.ndarray, right, right_size, left, left_size, ids, place
     k, row, column = k[order], row[order], column[order]
     head = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, np.bool_)
     of = row[np.flatnonzero(head)][np.cumsum(head) - 1] if len(k) else row
-    repeat = ~head & ((ids[row] != ids[of]) | (place[row] != place[of]))
+    repeat = ~head & ((ids[row] != ids[of]) | (keys[row] != keys[of]) | (place[row] != place[of]))
     row, column, of = row[repeat], column[repeat], of[repeat]
     order = np.lexsort((-column, row))
     row, column, first = row[order], column[order], ids[of[order]]
     if not len(row):
-        return batch(SPAN_ROW, *(np.zeros(0, np.int64) for _ in range(4)))
+        return batch(SPAN_ROW, *(np.zeros(0, np.int64) for _ in range(5)))
     start = place[row].astype(np.int64) - column
     new = np.append(True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (first[1:] != first[:-1]))
     last = np.append(np.flatnonzero(new)[1:] - 1, len(row) - 1)
-    return batch(SPAN_ROW, ids[row[new]], start[new].astype(np.int32), (start[last] + LENGTH).astype(np.int32), first[new])
+    return batch(SPAN_ROW, ids[row[new]], keys[row[new]], start[new].astype(np.int32), (start[last] + LENGTH).astype(np.int32), first[new])
 
 
 def merge_range(table: pa.Table) -> pa.Table:
     """Repeats of one range of first letters."""
     runs = [decode(x.as_py()) for x in combined(table["piece"])]
-    run, at, shared = merge([(r[0], r[1], r[7]) for r in runs])
+    run, at, shared = merge([(r[0], r[1], r[8]) for r in runs])
     base = np.concatenate(([0], np.cumsum([len(r[0]) for r in runs])[:-1]))
     order = base[run] + at
-    columns = [np.concatenate([r[i] for r in runs]) for i in (1, 2, 3, 4, 5, 6)]
+    columns = [np.concatenate([r[i] for r in runs]) for i in (1, 2, 3, 4, 5, 6, 7)]
     del runs
     new = shared == 0
     # blocks of whole grams, so that the windows of only some suffixes are spread out at a time
@@ -352,33 +353,40 @@ def merge_range(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches(found, schema=SPAN_ROW)
 
 
-def spans(docs: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
+def keyed_spans(docs: DataFrame, run_rows: int = RUN_ROWS, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """spans() with row, the key of the row's doc_id and text."""
+    spark = docs.sparkSession
+    ship(spark)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key(docs).alias("row")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    found = arrow_map(own.select("text", "row"), find_anchors, "gram long, row long, word int")
+    # a gram is there twice if its neighbour in the order of grams is the same: no group is held, however large
+    w = Window.partitionBy("gram").orderBy("gram")
+    twice = found.withColumn("n", F.coalesce(F.lag("gram").over(w), F.lead("gram").over(w))).filter("n IS NOT NULL").drop("n")
+    lived = cut(twice.groupBy("row").agg(F.collect_set("word").alias("words")))
+    sums = lived.agg(F.sum(F.size("words") * 4 + 48).alias("b"), F.sum(F.size("words")).alias("n")).first()
+    side = F.broadcast(lived) if (sums.b or 0) <= BROADCAST_BYTES else lived.hint("shuffle_hash")
+    ranges = max(1, -(-(sums.n or 0) // range_rows))
+    pieces = cut(arrow_map(own.join(side, "row"), lambda b: make_runs(ranges, run_rows, b), "range int, piece binary"))
+    rows = pieces.filter(F.col("range") != LOCAL).groupBy("range").applyInArrow(merge_range, SPAN_DDL)
+    rows = rows.unionByName(arrow_map(pieces.filter(F.col("range") == LOCAL), local_spans, SPAN_DDL))
+    w = Window.partitionBy("doc_id", "row").orderBy("start", "stop")
+    island = rows.withColumn("reach", F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    island = island.withColumn("island", F.sum(F.when(F.col("start") > F.coalesce("reach", F.lit(-1)), 1).otherwise(0)).over(w))
+    out = island.groupBy("doc_id", "row", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"))
+    return out.select("doc_id", "row", "start", "stop", (F.col("stop") - F.col("start")).alias("words"), "first_doc_ids")
+
+
+def spans(docs: DataFrame, run_rows: int = RUN_ROWS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(doc_id, start, stop, words, first_doc_ids): passages, as ranges of word numbers, that repeat an earlier one.
 
     Every window of LENGTH words that occurs at an earlier (doc_id, word) is covered; first_doc_ids lists
     documents that hold an earlier occurrence (the first of the run or of all). Repeats within a document count. Null or empty texts and texts of less
-    than LENGTH words have none; rows with a null doc_id are left out; rows that repeat a doc_id count as one document
-    and share its passages. An empty table gives an empty result. Texts are used whole. Columns other than doc_id and
-    text are not looked at.
+    than LENGTH words have none; rows with a null doc_id are left out; rows that agree in doc_id and text count once;
+    rows of one doc_id with different texts are documents of their own, told apart by a hash, each with its own
+    passages. An empty table gives an empty result. Texts are used whole. Columns other than doc_id and text are not
+    looked at.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = arrow_map(own, find_anchors, "gram long, doc_id long, word int")
-    twice = found.withColumn("n", F.count("*").over(Window.partitionBy("gram"))).filter("n > 1")
-    lived = cut(twice.groupBy("doc_id").agg(F.collect_set("word").alias("words")))
-    size = lived.agg(F.sum(F.size("words") * 4 + 48).alias("b")).first().b or 0
-    side = F.broadcast(lived) if size <= BROADCAST_BYTES else lived.hint("shuffle_hash")
-    ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = cut(arrow_map(own.join(side, "doc_id"), lambda b: make_runs(ranges, run_rows, b), "range int, piece binary"))
-    kind = "doc_id long, start int, stop int, first_doc_id long"
-    rows = pieces.filter(F.col("range") != LOCAL).groupBy("range").applyInArrow(merge_range, kind)
-    rows = rows.unionByName(arrow_map(pieces.filter(F.col("range") == LOCAL), local_spans, kind))
-    w = Window.partitionBy("doc_id").orderBy("start", "stop")
-    island = rows.withColumn("reach", F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    island = island.withColumn("island", F.sum(F.when(F.col("start") > F.coalesce("reach", F.lit(-1)), 1).otherwise(0)).over(w))
-    out = island.groupBy("doc_id", "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.array_sort(F.collect_set("first_doc_id")).alias("first_doc_ids"))
-    return out.select("doc_id", "start", "stop", (F.col("stop") - F.col("start")).alias("words"), "first_doc_ids")
+    return keyed_spans(docs, run_rows, range_rows).drop("row")
 
 
 def strip(column: pa.Array, lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -401,19 +409,22 @@ def strip(column: pa.Array, lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def remove_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """docs without the word ranges (doc_id, start, stop) of ranges; n_chars, where there is one, follows the text.
+    """docs without the word ranges (doc_id, row, start, stop) of ranges; n_chars, where there is one, follows the text.
 
-    A document of which no word is left goes; all others stay. Rows with a null doc_id stay as they are.
+    row is row_key() of the row that a range belongs to, so that rows which share a doc_id lose only their own ranges.
+    A document of which no word is left goes; all others stay. Rows with a null doc_id stay as they are. Columns of
+    docs may have any names.
     """
-    listed = cut(ranges.groupBy(F.col("doc_id").alias("__doc")).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("__ranges")))
-    size = listed.agg(F.sum(F.size("__ranges") * 16 + 48).alias("b")).first().b or 0
+    doc, row, held = unused(docs, "__doc", "__row", "__ranges")
+    listed = cut(ranges.groupBy(F.col("doc_id").alias(doc), F.col("row").alias(row)).agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias(held)))
+    size = listed.agg(F.sum(F.size(held) * 16 + 56).alias("b")).first().b or 0
     side = F.broadcast(listed) if size <= BROADCAST_BYTES else listed
     names = docs.columns
     kinds = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
-            lists = combined(got["__ranges"])
+            lists = combined(got[len(names)])
             columns = [got[i] for i in range(len(names))]
             touched = lists.is_valid().to_numpy(zero_copy_only=False)
             left = np.ones(got.num_rows, np.bool_)
@@ -428,9 +439,10 @@ def remove_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
                     columns[j] = pc.replace_with_mask(columns[j], mask, pc.utf8_length(text).cast(columns[j].type))
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(left))
 
-    return arrow_map(docs.join(side, docs["doc_id"] == F.col("__doc"), "left").drop("__doc"), run, kinds)
+    joined = docs.join(side, (docs["doc_id"].cast("long") == side[doc]) & (row_key(docs) == side[row]), "left").drop(doc, row)
+    return arrow_map(joined, run, kinds)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs without the passages that spans() finds: the first occurrence of each stays. See spans and remove_ranges for the special cases."""
-    return remove_ranges(docs, spans(docs))
+    return remove_ranges(docs, keyed_spans(docs))

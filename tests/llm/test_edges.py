@@ -161,6 +161,40 @@ def test_simhash(docs, none):
     assert 7 not in left and left.count(None) == 2 and {1, 2, 3, 4, 5, 6, 10, 11, 12} <= set(left)
 
 
+UNIQUE = " ".join(f"only{i}x" for i in range(120))
+OTHER = " ".join(f"else{i}y" for i in range(120))
+
+
+def test_rows_that_share_a_doc_id(spark, benchmark):
+    """A row loses its own spans, and goes for its own text, never for that of another row with its doc_id."""
+    passage = " ".join(f"pass{i}" for i in range(60))
+    item = "one two three four five six seven eight nine"
+    made = spark.createDataFrame([(1, f"{passage} {OTHER}"), (2, f"start {passage} end"), (2, UNIQUE), (2, UNIQUE)], "doc_id long, text string")
+    left = sorted((r.doc_id, r.text) for r in suffixdedup.remove_repeats(made).collect())
+    assert left == sorted([(1, f"{passage} {OTHER}"), (2, "start  end"), (2, UNIQUE), (2, UNIQUE)])
+    twice = spark.createDataFrame([(2, f"{passage} {OTHER}"), (2, f"start {passage} end")], "doc_id long, text string")
+    assert len(suffixdedup.spans(twice).collect()) == 1  # the two texts of one doc_id are two documents
+    made = spark.createDataFrame([(2, f"start benchmark item {item} end " + OTHER), (2, UNIQUE)], "doc_id long, text string")
+    left = {r.text for r in decontaminate.remove(made, benchmark.filter("item_id = 1")).collect()}
+    assert left == {"start  end " + OTHER, UNIQUE}
+    made = spark.createDataFrame([(1, EN, "a"), (5, EN, "b"), (5, UNIQUE, "c"), (6, OTHER, "d"), (6, OTHER, "e"), (7, UNIQUE + " more", "f")], "doc_id long, text string, source string")
+    for limit in (None, 0):
+        got = sorted((r.doc_id, r.text) for r in simhash.keep_one(made, broadcast_bytes=limit).collect())
+        assert got == sorted([(1, EN), (5, UNIQUE), (6, OTHER)])
+    assert {(r.doc_id, r.kept_doc_id) for r in simhash.groups(made).collect()} == {(5, 1), (7, 5)}  # 1 and 7 are not linked by doc_id 5
+
+
+def test_reserved_names(spark, benchmark, tmp_path):
+    """Columns of any name pass through the filtering stages."""
+    benchmark.write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ["__ranges", "__doc", "__row", "__whole", "__removed_key", "row", "reach", "range", "piece", "copy", "n"]
+    made = spark.createDataFrame([(i, EN, "en", "a", len(EN), *names) for i in (1, 1, 2)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, made, str(tmp_path))
+        assert got.schema.names == made.schema.names
+        assert all(tuple(r)[5:] == tuple(names) for r in got.collect())
+
+
 def test_weak_supervision(docs, none):
     got = weakrules.score(docs).collect()
     assert len(got) == len(ROWS) and all(0 <= r.posterior <= 1 for r in got)

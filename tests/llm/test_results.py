@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quernstone.llm import arc2warc, components, decontaminate, kdshard, knnquality, langkernel, packing, queries, simhash, suffixdedup, textscan, urlglob, weakrules
@@ -205,10 +206,10 @@ def test_merge_and_front_coding(parts):
             continue
         zero = np.zeros(len(part), np.int64)
         heads = len(set(gram.tolist()))
-        data = suffixdedup.encode(gram, right, size, np.zeros(0, np.uint32), zero, np.arange(len(part)), zero) + heads.to_bytes(8, "little")
+        data = suffixdedup.encode(gram, right, size, np.zeros(0, np.uint32), zero, np.arange(len(part)), zero, zero) + heads.to_bytes(8, "little")
         got = suffixdedup.decode(data)
         assert (got[0] == gram).all() and (got[1] == right).all() and (got[2] == size).all()
-        runs.append((got[0], got[1], got[7]))
+        runs.append((got[0], got[1], got[8]))
         plain += [(g, tuple(x), number) for g, x in part]
     if not runs:
         return
@@ -311,16 +312,17 @@ def test_simhash_recall(spark):
     rows = list(zip(t["doc_id"].to_pylist(), t["text"].to_pylist()))
     want = brute.near_groups(rows)
     docs = table(spark, "/root/testdata/sf0.01", "documents")
-    for got in (simhash.groups(docs), simhash.groups(docs, shard_rows=20)):
+    for got in (simhash.groups(docs), simhash.groups(docs, shard_rows=20, broadcast_bytes=0)):
         found = {(r.doc_id, r.kept_doc_id) for r in got.collect()}
         assert len(found & want) >= 0.95 * len(want) and len({d for d, _ in found} - {d for d, _ in want}) == 0
 
 
-@pytest.mark.parametrize("n", [1_000, 250_000, 6_000_000])
-def test_simhash_bands_reach_the_radius(n):
-    """Pairs at the radius share a band with probability 0.9 at the band width of any corpus."""
-    bits = simhash.band_bits(n)
-    bands = simhash.band_positions(bits, simhash.tables(bits, simhash.RADIUS))
+@pytest.mark.parametrize("bits", [10, simhash.BAND_BITS, 22])
+def test_simhash_bands_reach_the_radius(bits):
+    """Pairs at the radius share a band with probability 0.9, and nearer ones as found() says, at any band width."""
+    count = simhash.tables_for(bits)
+    assert count == simhash.TABLES or bits != simhash.BAND_BITS
+    bands = simhash.band_positions(bits, count)
     rng = np.random.default_rng(4)
     one = rng.integers(0, 2, (4000, simhash.BITS), dtype=np.uint8)
     for away in (26, 39, simhash.RADIUS):
@@ -329,7 +331,17 @@ def test_simhash_bands_reach_the_radius(n):
             row[rng.choice(simhash.BITS, away, replace=False)] ^= 1
         a, b = (np.packbits(x, axis=1, bitorder="little").view(np.uint64) for x in (one, two))
         assert (simhash.distance(a, b) == away).all()
-        assert (simhash.band_keys(a, bands) == simhash.band_keys(b, bands)).any(0).mean() >= 0.88
+        share = (simhash.band_keys(a, bands) == simhash.band_keys(b, bands)).any(0).mean()
+        assert share >= 0.88 and abs(share - simhash.found(bits, away, count)) < 0.02
+
+
+def test_simhash_pairs_do_not_depend_on_the_corpus(spark):
+    """Unrelated documents beside them, or the other way of delivering trees, change no pair."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    more = docs.select((docs.doc_id + 1_000_000).alias("doc_id"), F.concat_ws(" ", *(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f":{i}"))) for i in range(60))).alias("text"))
+    want = {tuple(r) for r in simhash.groups(docs).collect()}
+    assert {tuple(r) for r in simhash.groups(docs.select("doc_id", "text").unionByName(more)).collect()} == want
+    assert {tuple(r) for r in simhash.groups(docs, broadcast_bytes=0).collect()} == want
 
 
 def test_weak_supervision(spark):
