@@ -17,6 +17,7 @@ import base64
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from datetime import datetime
 
@@ -26,6 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quernstone.llm.common import arrow_map
 
 FIELDS = {"1": 5, "2": 10}
+CERTAIN = re.compile(rb"[A-Za-z][A-Za-z0-9+.-]*:\S.* \S+ (?:\d{14}|\d{12}|\d{8}) \S+(?: \d{3} \S+ \S+ \d+ \S+)? \d+")
 STATUS = re.compile(rb"HTTP/\d(?:\.\d)? +(\d{3})")
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:arc-to-warc")
 
@@ -62,14 +64,38 @@ def header(line: bytes, fields: int) -> tuple[str, list[str], int] | None:
     return parts[0], parts[1:-1], int(parts[-1])
 
 
-def convert(data: bytes) -> Iterator[tuple]:
-    """Rows (without page_id) of the records of one ARC file or fragment.
+def certain(line: bytes) -> bool:
+    """Whether a line is a header beyond doubt: a URL with a scheme, a stamp of digits at the place of the date, a media type, a length. Asked where a header is looked for in the midst of other text."""
+    return CERTAIN.fullmatch(line.rstrip(b"\r")) is not None
+
+
+def inflate(data: bytes) -> tuple[bytes, bool]:
+    """Data of all gzip members in a row, and whether the last one broke off; data that is not compressed as it is."""
+    out = []
+    while data[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data))
+        except zlib.error:
+            return b"".join(out), True
+        if not member.eof:
+            return b"".join(out), True
+        data = member.unused_data.lstrip(b"\0")
+    return b"".join([*out, data]), False
 
-    A fragment without a version block is of version 1, or of version 2 where its first header only parses so. A line
-    that is no header ends the fragment with a row of error malformed_header; content shorter than declared gives
-    what there is with error truncated; a date that cannot be read leaves warc_date null with error bad_date.
+
+def convert(data: bytes) -> Iterator[tuple]:
+    """Rows (without page_id) of the records of one ARC file or fragment, plain or as gzip members.
+
+    A fragment without a version block is of version 1, or of version 2 where its first header only parses so. Where a
+    header should stand and none does, everything up to the next line that is one beyond doubt gives a row of error
+    malformed_header, with the first such line as its URI, and reading goes on there. Content shorter than declared
+    gives what there is with error truncated (and WARC-Truncated). A date that cannot be read leaves warc_date null with
+    error bad_date; the record, which must have a date, gets that of the record before it, or the epoch if there is none.
+    A gzip member that breaks off or is damaged gives what could be read and a row of error bad_gzip at the end.
     """
-    at, position, fields = 0, 0, None
+    data, broken = inflate(data)
+    at, position, fields, known = 0, 0, None, "1970-01-01T00:00:00Z"
     while at < len(data):
         if data[at : at + 1] in (b"\n", b"\r"):
             at += 1
@@ -82,10 +108,19 @@ def convert(data: bytes) -> Iterator[tuple]:
         got = header(line, fields)
         if got is None:
             yield (position, None, None, None, line.decode("utf-8", "replace"), None, None, None, None, None, None, "malformed_header", None)
-            return
+            position += 1
+            at = end + 1
+            while at < len(data):
+                end = data.find(b"\n", at)
+                end = len(data) if end < 0 else end
+                if certain(data[at:end]) and header(data[at:end], fields):
+                    break
+                at = end + 1
+            continue
         url, others, length = got
         body = data[end + 1 : end + 1 + length]
-        error = "truncated" if len(body) < length else None
+        short = len(body) < length
+        error = "truncated" if short else None
         at = end + 1 + length
         status, payload, kind, mime = None, body, "resource", others[2]
         if url.startswith("filedesc:"):
@@ -104,21 +139,26 @@ def convert(data: bytes) -> Iterator[tuple]:
             mime = "text/dns"
         date = iso_date(others[1])
         error = error or ("bad_date" if date is None else None)
+        known = date or known
         block = digest(body)
         own = digest(payload) if payload is not body else block
         name = f"<urn:uuid:{uuid.uuid5(NAMESPACE, ' '.join((url, others[1], block)))}>"
         ip = others[0] if kind != "warcinfo" and others[0] not in ("", "-", "0.0.0.0") else None
-        lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"WARC-Date: {date or '1970-01-01T00:00:00Z'}"]
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {name}", f"WARC-Date: {known}"]
         if kind == "warcinfo":
             lines.append(f"WARC-Filename: {url.partition('://')[2]}")
         else:
             lines.append(f"WARC-Target-URI: {url}")
         if ip:
             lines.append(f"WARC-IP-Address: {ip}")
+        if short:
+            lines.append("WARC-Truncated: unspecified")
         lines += [f"WARC-Block-Digest: {block}", f"WARC-Payload-Digest: {own}", f"Content-Type: {mime}", f"Content-Length: {len(body)}"]
         warc = "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
         yield (position, kind, name, date, url, ip, mime, len(body), status, block, own, error, warc)
         position += 1
+    if broken:
+        yield (position, *[None] * 10, "bad_gzip", None)
 
 
 def warc_records(archives: DataFrame) -> DataFrame:

@@ -1,5 +1,9 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing extra columns, for every operator and stage."""
 
+import base64
+import gzip
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +131,38 @@ def test_arc_conversion(spark):
     assert arc2warc.convert_pages(spark.createDataFrame([(1, None, "x"), (None, "u", "x"), (2, "u", None)], "page_id long, url string, html string")).count() == 0
 
 
+def test_arc_bytes():
+    """Literal archives, the WARC records that they must become, and what is saved from damaged ones."""
+    v1 = b"filedesc://one.arc 0.0.0.0 20010203040506 text/plain 68\n1 0 crawler\nURL IP-address Archive-date Content-type Archive-length\n\n\n"
+    page = b"http://a.example/x y 1.2.3.4 20010203040507 text/html 45\nHTTP/1.0 404 Not Found\r\nServer: s\r\n\r\n<p>gone\n\n"
+    dns = b"dns:a.example 9.9.9.9 20010203040508 text/dns 5\n1.2.3\n"
+    got = list(arc2warc.convert(v1 + page + dns))
+    assert [(r[1], r[3], r[4], r[5], r[6], r[7], r[8], r[11]) for r in got] == [
+        ("warcinfo", "2001-02-03T04:05:06Z", "filedesc://one.arc", None, "application/warc-fields", len(got[0][12].partition(b"\r\n\r\n")[2]) - 4, None, None),
+        ("response", "2001-02-03T04:05:07Z", "http://a.example/x y", "1.2.3.4", "application/http; msgtype=response", 45, 404, None),
+        ("resource", "2001-02-03T04:05:08Z", "dns:a.example", "9.9.9.9", "text/dns", 5, None, None),
+    ]
+    assert got[1][12] == (
+        b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: " + got[1][2].encode() + b"\r\nWARC-Date: 2001-02-03T04:05:07Z\r\nWARC-Target-URI: http://a.example/x y\r\nWARC-IP-Address: 1.2.3.4\r\n"
+        b"WARC-Block-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"HTTP/1.0 404 Not Found\r\nServer: s\r\n\r\n<p>gone\n").digest()) + b"\r\nWARC-Payload-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"<p>gone\n").digest())
+        + b"\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: 45\r\n\r\nHTTP/1.0 404 Not Found\r\nServer: s\r\n\r\n<p>gone\n\r\n\r\n"
+    )
+    v2 = b"filedesc://two.arc 0.0.0.0 20010203040506 text/plain 200 - - 0 two.arc 14\n2 0 crawler\nX\n\nhttp://b.example/ 1.2.3.4 20010203040507 text/plain 200 abc - 14 two.arc 3\nxyz\n"
+    assert [(r[1], r[4], r[7], r[11]) for r in arc2warc.convert(v2)][1] == ("resource", "http://b.example/", 3, None)
+    zipped = b"".join(gzip.compress(x) for x in (v1, page, dns))
+    assert list(arc2warc.convert(zipped)) == got
+    assert [r[11] for r in arc2warc.convert(zipped[:-9])] == [None, None, None, "bad_gzip"]
+    # junk between records costs no record, and neither does content longer than declared
+    damaged = dns + b"not a header\nnor this 20010203040507 one\n" + page + dns.replace(b"dns 5", b"dns 3") + dns
+    assert [(r[4], r[11]) for r in arc2warc.convert(damaged)] == [
+        ("dns:a.example", None), ("not a header", "malformed_header"), ("http://a.example/x y", None), ("dns:a.example", None), (".3", "malformed_header"), ("dns:a.example", None),
+    ]
+    cut = list(arc2warc.convert(dns + page[:-9]))
+    assert cut[1][11] == "truncated" and b"\r\nWARC-Truncated: unspecified\r\n" in cut[1][12]
+    undated = list(arc2warc.convert(dns + dns.replace(b"20010203040508", b"2001")))
+    assert undated[1][11] == "bad_date" and undated[1][3] is None and b"WARC-Date: 2001-02-03T04:05:08Z" in undated[1][12]
+
+
 def test_suffix_dedup(docs, none):
     got = {(r.doc_id, r.start, r.stop) for r in suffixdedup.spans(docs).collect()}
     assert not any(d in (None, 1, 2, 3, 4, 5, 8) for d, *_ in got)
