@@ -1,10 +1,10 @@
 """Language identification by a string kernel.
 
 The kernel is the blended-spectrum presence kernel: k(x, y) = |S(x) & S(y)| / sqrt(|S(x)| |S(y)|), S being the set
-of n-grams, n = 1 .. 3, of the lower-cased UTF-8 bytes, mapped to 64 classes (letters, bytes of non-ASCII characters,
-digits, all else). 1- and 2-grams have a column each; 3-grams are hashed to TRIGRAMS columns. Classifiers are
-one-versus-rest kernel ridge regressions on Nystroem features of landmark documents; since features and weights are
-linear in the kernel row, a batch is scored by two matrix products.
+of n-grams, n = 1 .. 3, of the bytes of the lower-cased UTF-8 text in which digits are one sign and all ASCII characters
+but letters and digits another. It is exact: no gram is hashed or left out. Classifiers are one-versus-rest kernel
+ridge regressions on Nystroem features of landmark documents. Grams of no landmark count in |S(x)| and nowhere else, so
+a batch is scored by two matrix products: presence of the landmarks' grams by landmarks, and that by weights.
 
 A text that is in none of the languages has low scores for all, but so have short texts in one of them. The best score
 must therefore reach a floor that depends on the number of distinct grams of the text. Floors are set on labelled rows
@@ -17,16 +17,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quernstone.llm import textscan
-from quernstone.llm.common import arrow_map, batch
+from quernstone.llm.common import arrow_map, batch, row_key
 
-TRIGRAM_BITS = 13
-COLUMNS = 64 + 4096 + (1 << TRIGRAM_BITS)
 #: Rows of one presence matrix.
 BLOCK = 192
 #: Share of the held-out rows, at each size, that floors may reject, the highest floor, and the fewest held-out texts that set one.
@@ -37,56 +36,74 @@ FLOOR_ROWS = 50
 SIZES = np.array([48, 64, 96, 128, 192, 256, 384, 512, 768, 1024])
 BEGINNINGS = (5, 10, 20, 40)
 
+#: Signs: 0 other ASCII, 1-26 letters, 27 digits, 28-155 bytes of other characters, END after a text.
 CLASS = np.zeros(256, np.uint32)
 for _i, _c in enumerate(b"abcdefghijklmnopqrstuvwxyz"):
     CLASS[_c] = _i + 1
     CLASS[_c - 32] = _i + 1
 for _c in b"0123456789":
-    CLASS[_c] = 60
-for _c in range(128, 256):
-    CLASS[_c] = 27 if _c == 0xC3 else 28 + (_c & 31)
+    CLASS[_c] = 27
+CLASS[128:] = 28 + np.arange(128)
+END = 156
+M = END + 1
+#: Codes of grams: 3-grams, then 2-grams, then single signs.
+CODES = M**3 + M**2 + M
 
 
 @dataclass
 class Model:
-    """languages in order; landmarks (columns x landmarks) scaled by their norms; weights (landmarks x languages); floors of the best score, by range of SIZES."""
+    """languages in order; codes of the landmarks' grams (sorted); landmarks (codes x landmarks) scaled by their norms; weights (landmarks x languages); floors of the best score, by range of SIZES."""
 
     languages: list[str]
+    codes: np.ndarray
     landmarks: np.ndarray
     weights: np.ndarray
     floors: np.ndarray
 
+    @cached_property
+    def column(self) -> np.ndarray:
+        """The row of landmarks of each code, or -1."""
+        out = np.full(CODES, -1, np.int32)
+        out[self.codes] = np.arange(len(self.codes))
+        return out
 
-def presence(column: pa.Array) -> np.ndarray:
-    """Presence matrix (rows x COLUMNS, uint8) of a large_string array."""
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "column"}
+
+
+def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, code) of the distinct grams of each text of a large_string array of at most 1,024 rows.
+
+    3-grams are sorted by row and signs, the last of a text being filled up by END; equal beginnings of neighbours give
+    the distinct 2-grams and single signs.
+    """
     data, offsets = textscan.raw(column)
-    rows = len(offsets) - 1
-    out = np.zeros((rows + 1) * COLUMNS, np.uint8)  # the last row takes grams across two documents
-    n = len(data)
-    c = CLASS[data]
-    row = np.repeat(np.arange(rows, dtype=np.uint32) * np.uint32(COLUMNS), np.diff(offsets))
-    ends = offsets[1:]
-    out[row + c] = 1
-    if n > 1:
-        two = c[:-1] * np.uint32(64) + c[1:]
-        at = row[:-1] + two + np.uint32(64)
-        at[ends[(ends > 0) & (ends < n)] - 1] = rows * COLUMNS
-        out[at] = 1
-    if n > 2:
-        three = two[:-1] * np.uint32(64) + c[2:]
-        at = row[:-2] + (three * np.uint32(2654435761) >> np.uint32(32 - TRIGRAM_BITS)) + np.uint32(64 + 4096)
-        for back in (1, 2):
-            edge = ends[:-1] - back
-            at[edge[(edge >= 0) & (edge < n - 2)]] = rows * COLUMNS
-        out[at] = 1
-    return out.reshape(rows + 1, COLUMNS)[:rows]
-
-
-def kernel(column: pa.Array, landmarks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Kernel of each text against scaled landmarks, and its number of distinct grams."""
-    found = presence(column).astype(np.float32)
-    size = found.sum(1)
-    return (found @ landmarks) / np.sqrt(np.maximum(size, 1))[:, None], size
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.uint32), np.diff(offsets))
+    place = np.arange(len(data)) + 2 * row.astype(np.int64)
+    c = np.full(len(data) + 2 * (len(offsets) - 1), END, np.uint32)
+    c[place] = CLASS[data]
+    key = ((row * np.uint32(M) + c[place]) * np.uint32(M) + c[place + 1]) * np.uint32(M) + c[place + 2]
+    key.sort()
+
+    def distinct(x: np.ndarray) -> np.ndarray:
+        return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+    three = distinct(key)
+    two = distinct(three // np.uint32(M))
+    one = distinct(two // np.uint32(M))
+    three, two = three[three % np.uint32(M) != END], two[two % np.uint32(M) != END]
+    row = np.concatenate([three // np.uint32(M**3), two // np.uint32(M**2), one // np.uint32(M)]).astype(np.int64)
+    return row, np.concatenate([three % np.uint32(M**3), M**3 + two % np.uint32(M**2), M**3 + M**2 + one % np.uint32(M)]).astype(np.int64)
+
+
+def kernel(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Kernel of each text against the landmarks, and its number of distinct grams."""
+    row, code = grams(column)
+    size = np.bincount(row, minlength=len(column)).astype(np.float32)
+    at = model.column[code]
+    there = np.zeros((len(column), len(model.codes)), np.float32)
+    there[row[at >= 0], at[at >= 0]] = 1
+    return (there @ model.landmarks) / np.sqrt(np.maximum(size, 1))[:, None], size
 
 
 def fit(texts: list[str], languages: list[str], landmarks: int = 128, ridge: float = 0.05) -> Model:
@@ -121,19 +138,24 @@ def fit_weights(texts: list[str], languages: list[str], landmarks: int, ridge: f
     names = sorted(set(languages))
     none = np.full(len(SIZES) + 1, -np.inf)
     if not names:
-        return Model([], np.zeros((COLUMNS, 0), np.float32), np.zeros((0, 0), np.float32), none)
+        return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), none)
     order = sorted(range(len(texts)), key=lambda i: (languages[i], i))
     chosen = order[:: max(1, -(-len(order) // landmarks))]
     column = textscan.strings(pa.array(texts, pa.large_string()))
-    base = presence(column.take(pa.array(chosen))).astype(np.float32)
-    base /= np.sqrt(np.maximum(base.sum(1), 1))[:, None]
-    rows = np.concatenate([kernel(column.slice(i, BLOCK), base.T)[0] for i in range(0, len(texts), BLOCK)]).astype(np.float64)
-    values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
+    own = [grams(column.slice(i, 1))[1] for i in chosen]
+    codes = np.unique(np.concatenate(own))
+    base = np.zeros((len(codes), len(chosen)), np.float32)
+    for j, code in enumerate(own):
+        base[np.searchsorted(codes, code), j] = 1 / np.sqrt(max(len(code), 1))
+    model = Model(names, codes, base, np.zeros((len(chosen), len(names)), np.float32), none)
+    rows = np.concatenate([kernel(column.slice(i, min(BLOCK, len(texts) - i)), model)[0] for i in range(0, len(texts), BLOCK)]).astype(np.float64)
+    values, vectors = np.linalg.eigh((base.T @ base).astype(np.float64))
     root = vectors * np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0) @ vectors.T
     features = rows @ root
     truth = np.where(np.array(languages)[:, None] == np.array(names)[None, :], 1.0, -1.0)
     solved = np.linalg.solve(features.T @ features + ridge * np.eye(features.shape[1]), features.T @ truth)
-    return Model(names, np.ascontiguousarray(base.T), (root @ solved).astype(np.float32), none)
+    model.weights = (root @ solved).astype(np.float32)
+    return model
 
 
 def score(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +164,7 @@ def score(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     for i in range(0, len(column), BLOCK):
         block = column.slice(i, min(BLOCK, len(column) - i))
         for a, b in textscan.pieces(block):
-            near, size = kernel(block.slice(a, b - a), model.landmarks)
+            near, size = kernel(block.slice(a, b - a), model)
             found.append(near @ model.weights)
             sizes.append(size)
     return np.concatenate(found), np.concatenate(sizes)
@@ -161,13 +183,42 @@ def decide(column: pa.Array, model: Model, least: float) -> tuple[np.ndarray, np
     return scores.argmax(1), margin, lettered & known & (margin >= least)
 
 
+def shares(counts: dict[str, int], rows: int) -> dict[str, int]:
+    """Rows of each language in a sample: equal ones, what a rare language lacks going to the others."""
+    out, left = {}, rows
+    for i, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[lang] = min(counts[lang], max(1, left // (len(counts) - i)))
+        left -= out[lang]
+    return out
+
+
 def labelled(docs: DataFrame, rows: int) -> tuple[list[str], ...]:
-    """Texts and languages of at most rows labelled documents, those whose doc_id has the least hash, over the whole table."""
+    """Texts and languages of at most rows labelled documents of the whole table.
+
+    Each language has the same share, so that a rare one is learnt too (where there are more languages than rows, the
+    most frequent count); of a language those documents are taken whose doc_id and text have the least hash.
+    """
+    spark = docs.sparkSession
     known = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
-    ids = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    found = known.select("doc_id", "text", "lang").join(F.broadcast(ids.select(F.col("doc_id").alias("__id")).distinct()), F.col("doc_id") == F.col("__id"), "left_semi")
-    got = sorted({(r.doc_id, r.text, r.lang) for r in found.collect()})
-    return [r[1] for r in got], [r[2] for r in got]
+    found = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()
+    count = {r.lang: r.n for r in found}
+    want = shares(count, rows)
+    part = {k: min(1.0, (2 * w + 32) / count[k]) for k, w in want.items()}
+    out: dict[str, list[str]] = {}
+    while want:
+        # only rows with hashes below a bound that some twice the wanted rows reach are ranked
+        side = spark.createDataFrame([(k, float(part[k]), w) for k, w in want.items()], "__lang string, __part double, __want long")
+        low = known.select("lang", "text", row_key(known).alias("__h")).join(F.broadcast(side), F.col("lang") == F.col("__lang"))
+        low = low.filter(F.shiftrightunsigned("__h", 1) / float(1 << 63) < F.col("__part")).dropDuplicates(["lang", "__h"])
+        ranked = low.withColumn("__i", F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("__h", 1), "__h"))).filter("__i <= __want")
+        got: dict[str, list[str]] = {}
+        for r in sorted(ranked.select("lang", "__i", "text").collect()):
+            got.setdefault(r.lang, []).append(r.text)
+        done = {k for k, w in want.items() if len(got.get(k, [])) >= w or part[k] >= 1}
+        out |= {k: got.get(k, []) for k in done}
+        want = {k: w for k, w in want.items() if k not in done}
+        part = {k: min(1.0, 8 * p) for k, p in part.items()}
+    return [t for k in sorted(out) for t in out[k]], [k for k in sorted(out) for _ in out[k]]
 
 
 def train(docs: DataFrame, sample_rows: int = 1024, landmarks: int = 128) -> Model:

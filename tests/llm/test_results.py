@@ -129,16 +129,56 @@ def test_globs(globs, urls):
     assert got.tolist() == want
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.text("abz É9.", max_size=12), min_size=1, max_size=5))
-def test_kernel(texts):
-    def grams(t):
-        c = langkernel.CLASS[np.frombuffer(t.lower().encode(), np.uint8)].tolist()
-        cells = {x for x in c} | {64 + 64 * a + b for a, b in zip(c, c[1:])}
-        return cells | {64 + 4096 + (((4096 * a + 64 * b + d) * 2654435761 & 0xFFFFFFFF) >> (32 - langkernel.TRIGRAM_BITS)) for a, b, d in zip(c, c[1:], c[2:])}
-
-    got = langkernel.presence(textscan.strings(pa.array(texts, pa.large_string())))
-    assert [set(np.flatnonzero(r).tolist()) for r in got] == [grams(t) for t in texts]
+def spectrum(text):
+    """n-grams (1 to 3) of the normalised bytes of a text."""
+    t = re.sub(rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]", b" ", re.sub(rb"[0-9]", b"0", text.lower().encode()))
+    return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+
+
+def likeness(x, y):
+    return len(x & y) / max(1, len(x) * len(y)) ** 0.5
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abz É9.ß\u0153\u4e2d", max_size=12), min_size=1, max_size=5), st.lists(st.text("abz É9.ß\u0153\u4e2d", min_size=1, max_size=12), min_size=2, max_size=4))
+def test_kernel(texts, learnt):
+    model = langkernel.fit_weights(learnt, [f"l{i}" for i in range(len(learnt))], len(learnt), 0.05)
+    near, size = langkernel.kernel(textscan.strings(pa.array(texts, pa.large_string())), model)
+    assert size.tolist() == [len(spectrum(t)) for t in texts]
+    assert near == pytest.approx(np.array([[likeness(spectrum(t), spectrum(x)) for x in learnt] for t in texts]), abs=1e-5)
+
+
+def test_language_scores(rows):
+    """Scores against the same regression on kernels of plain sets."""
+    t = pq.read_table(f"{FOLDER}/documents.parquet").to_pandas()
+    texts, langs = t.text[:80].tolist(), t.lang[:80].tolist()
+    model = langkernel.fit_weights(texts, langs, 20, 0.05)
+    order = sorted(range(80), key=lambda i: (langs[i], i))[::4]
+    sets = [spectrum(x) for x in t.text]
+    marks = [sets[i] for i in order]
+    c = np.array([[likeness(x, y) for y in marks] for x in sets])
+    values, vectors = np.linalg.eigh(c[order])
+    some = values > 1e-6  # landmarks may be copies of one another
+    features = c @ (vectors[:, some] / np.sqrt(values[some])) @ vectors[:, some].T
+    truth = np.array([[1.0 if x == k else -1.0 for k in model.languages] for x in langs])
+    weights = np.linalg.inv(features[:80].T @ features[:80] + 0.05 * np.eye(20)) @ features[:80].T @ truth
+    got, _ = langkernel.score(textscan.strings(pa.array(t.text.tolist(), pa.large_string())), model)
+    assert got == pytest.approx(features @ weights, abs=2e-3)
+    want = np.array(model.languages)[(features @ weights).argmax(1)]
+    assert (np.array(model.languages)[got.argmax(1)] == want).mean() > 0.99
+
+
+def test_language_sample(spark):
+    """The least hashes of each language, as many as its share, over the whole table."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").withColumn("lang", F.when(F.col("doc_id") % 200 == 7, "rare").otherwise(F.col("lang")))
+    every = docs.select("lang", "text", F.xxhash64(F.col("doc_id"), "text").alias("h")).collect()
+    for n in (40, 300, 5000):
+        texts, langs = langkernel.labelled(docs, n)
+        want = langkernel.shares({k: sum(r.lang == k for r in every) for k in {r.lang for r in every}}, n)
+        assert len(texts) == min(n, len(every)) and want["rare"] == min(5, n // 5)
+        for k, w in want.items():
+            first = sorted((r.h % (1 << 64) >> 1, r.text) for r in every if r.lang == k)[:w]
+            assert sorted(x for x, y in zip(texts, langs) if y == k) == sorted(x for _, x in first)
 
 
 def test_language_holds_out(spark):
