@@ -19,9 +19,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 from quernstone.llm.common import small
 from quernstone.session import cut, ship
 
+#: Most bytes of a leaf, and the number of leaves that there are at least where the table can be split into so many.
 TARGET_BYTES = 32 << 20
+LEAST_SHARDS = 64
 LOCAL_ROWS = 100_000
+#: Slices of a node's range, and of all nodes of a level together where these are few.
 SLICES = 512
+LEVEL_SLICES = 1 << 18
 NUMBERS = ("n_chars", "doc_id")
 CATEGORIES = ("source", "lang")
 
@@ -71,11 +75,13 @@ def plan(ranges: Sequence[tuple[np.ndarray, np.ndarray]], scale: np.ndarray) ->
     return out
 
 
-def medians(rows: DataFrame, cuts: dict[str, tuple[int, int, int]], most_slices: int = SLICES) -> dict[str, int]:
+def medians(rows: DataFrame, cuts: dict[str, tuple[int, int, int]], slices: int = SLICES) -> dict[str, int]:
     """For node -> (dimension, low, high): the largest value that goes left, by rounds of histograms.
 
-    It is the weighted median, or where that is the highest value, the next lower one.
+    It is the weighted median, or where that is the highest value, the next lower one. Few nodes get finer slices, so
+    that their rows are read less often.
     """
+    most_slices = max(slices, min(1 << 16, LEVEL_SLICES // max(1, len(cuts))))
     spark = rows.sparkSession
     bounds = dict(cuts)
     done: dict[str, int] = {}
@@ -98,12 +104,13 @@ def medians(rows: DataFrame, cuts: dict[str, tuple[int, int, int]], most_slices:
     return done
 
 
-def assign(docs: DataFrame, target_bytes: int = TARGET_BYTES, numbers: Sequence[str] = NUMBERS, categories: Sequence[str] = CATEGORIES, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def assign(docs: DataFrame, target_bytes: int = TARGET_BYTES, numbers: Sequence[str] = NUMBERS, categories: Sequence[str] = CATEGORIES, local_rows: int = LOCAL_ROWS, least_shards: int = LEAST_SHARDS) -> DataFrame:
     """(doc_id, bytes, leaf, shard) for every row: leaf is the path from the root, shard its number in order of paths.
 
-    Bytes are those of the UTF-8 text, null counting as none. A leaf holds at most target_bytes unless all its rows
-    agree in every dimension, which is not split further. Null dimensions are below all values; repeated rows and
-    ties fall on the same side. Rows with a null doc_id are placed too. An empty table gives an empty result. Columns
+    Bytes are those of the UTF-8 text, null counting as none. A leaf holds at most target_bytes, and at most the
+    least_shards-th part of all bytes, so that a small table is spread too, unless all its rows agree
+    in every dimension, which is not split further. Null dimensions are below all values; repeated rows and ties fall
+    on the same side. Rows with a null doc_id are placed too. An empty table gives an empty result. Columns
     other than doc_id, text and the dimensions are not looked at.
     """
     ship(docs.sparkSession)
@@ -114,6 +121,8 @@ def assign(docs: DataFrame, target_bytes: int = TARGET_BYTES, numbers: Sequence[
         stats = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"), *(F.min(c).alias(f"lo_{c}") for c in dims), *(F.max(c).alias(f"hi_{c}") for c in dims)).collect()
         if not stats:
             break
+        if scale is None:
+            target_bytes = min(target_bytes, max(1, -(-sum(s.b for s in stats) // least_shards)))
         ends = {s.node: (np.array([s[f"lo_{c}"] for c in dims], np.int64), np.array([s[f"hi_{c}"] for c in dims], np.int64)) for s in stats}
         if scale is None:
             scale = np.maximum(1, ends[""][1] - ends[""][0]).astype(np.float64)

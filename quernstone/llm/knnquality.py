@@ -25,7 +25,7 @@ WORD_BITS = 18
 #: Words count by their first bytes, so that forms of a stem are one term.
 STEM = 7
 SIGNS = 40
-#: Stems that are used: those of the sample with the highest weights.
+#: Stems whose part of the sample's matrix is spread out at a time.
 STEMS = 8192
 RANK = 64
 SAMPLE_ROWS = 1024
@@ -65,10 +65,17 @@ def signs(words: textscan.Words, plain: pa.Array) -> np.ndarray:
     np.add.at(out, (doc, mark[at] % (SIGNS - 3)), 1)
     lines = np.flatnonzero(data == 10)
     np.add.at(out[:, LINE], np.searchsorted(offsets, lines, "right") - 1, 1)
-    upper = np.flatnonzero((data[1:] >= 65) & (data[1:] <= 90) & (data[:-1] >= 65) & (data[:-1] <= 90)) if len(data) > 1 else lines[:0]
+    capital = (data >= 65) & (data <= 90)
+    pair = capital[1:] & capital[:-1]
+    ends = offsets[1:-1]
+    pair[ends[(ends > 0) & (ends < len(data))] - 1] = False  # of two texts
+    upper = np.flatnonzero(pair)
     np.add.at(out[:, UPPER], np.searchsorted(offsets, upper, "right") - 1, 1)
     if len(words.hash) > 1:
-        again = np.flatnonzero(words.hash[1:] == words.hash[:-1]) + 1
+        same = words.hash[1:] == words.hash[:-1]
+        first = words.ptr[1:-1]
+        same[first[(first > 0) & (first < len(words.hash))] - 1] = False
+        again = np.flatnonzero(same) + 1
         np.add.at(out[:, AGAIN], np.searchsorted(words.ptr, again, "right") - 1, 1)
     # these two tell something only where they are a good part of the text
     size = np.diff(words.ptr)
@@ -131,20 +138,29 @@ def fit(texts: list[str], label: np.ndarray, rank: int = RANK) -> Model:
     there = np.concatenate([(marks > 0).sum(0), np.bincount(stem, minlength=space)]).astype(np.float64)
     weight = np.log((1 + n) / (1 + there)).astype(np.float32) + np.float32(0.1)
     weight *= tell(there, np.concatenate([label @ (marks > 0), np.bincount(stem, label[doc], minlength=space)]), label) if n else 1
-    chosen = np.argsort(-np.where(there[SIGNS:] > 0, weight[SIGNS:], 0), kind="stable")[:STEMS]
+    chosen = np.flatnonzero(there[SIGNS:])
     column = np.full(space, -1, np.int32)
     column[chosen] = SIGNS + np.arange(len(chosen))
     weight = np.concatenate([weight[:SIGNS], weight[SIGNS + chosen]])
-    rows = np.zeros((n, len(weight)), np.float32)
-    rows[:, :SIGNS] = damp(marks)
-    used = column[stem] >= 0
-    rows[doc[used], column[stem[used]]] = damp(size[used])
-    rows *= weight
-    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
-    values, vectors = np.linalg.eigh((rows @ rows.T).astype(np.float64))
+    # cells of the sample's matrix by column; it is spread out some columns at a time
+    cell = np.concatenate([damp(marks).ravel(), damp(size)]) * np.concatenate([np.tile(weight[:SIGNS], n), weight[column[stem]]])
+    where = np.concatenate([np.tile(np.arange(SIGNS), n), column[stem]])
+    which = np.concatenate([np.repeat(np.arange(n), SIGNS), doc])
+    cell = (cell / np.maximum(np.sqrt(np.bincount(which, cell.astype(np.float64) ** 2, minlength=n)), 1e-9)[which]).astype(np.float32)
+    order = np.argsort(where, kind="stable")
+    cell, where, which = cell[order], where[order], which[order]
+
+    def blocks() -> Iterator[np.ndarray]:
+        for at in range(0, len(weight), STEMS):
+            a, b = np.searchsorted(where, [at, at + STEMS])
+            rows = np.zeros((n, min(STEMS, len(weight) - at)), np.float32)
+            rows[which[a:b], where[a:b] - at] = cell[a:b]
+            yield rows
+
+    values, vectors = np.linalg.eigh(sum((rows @ rows.T for rows in blocks()), np.zeros((n, n))).astype(np.float64))
     top = np.argsort(-values)[:rank]
     top = top[values[top] > 1e-9]
-    matrix = (weight[:, None] * ((rows.T @ vectors[:, top]) / np.sqrt(values[top]))).astype(np.float32)
+    matrix = (weight[:, None] * (np.concatenate([rows.T @ vectors[:, top] for rows in blocks()]) / np.sqrt(values[top]))).astype(np.float32)
     model = Model(column, matrix, np.zeros((0, len(top)), np.float32), label.astype(np.float32))
     model.vectors = np.concatenate([model.vectors, *(project(c, model) for _, c in chunks)])
     return model

@@ -30,8 +30,10 @@ CAPACITY = 2048
 SHARD_TOKENS = 64_000_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Word counts that a worker remembers; beyond it starts anew.
-REMEMBERED = 250_000
+#: White space that, next to a single space, the pre-tokeniser may join to it.
+BLANK = r"[\s\x0b\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Bytes of text whose distinct pieces are encoded at a time.
+CHUNK = 8 << 20
 
 
 @lru_cache(maxsize=2)
@@ -44,41 +46,54 @@ def encoder(path: str):
     return tiktoken.Encoding(Path(path).stem, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-_counts: dict[str, int] = {}
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> np.ndarray:
+    """Bytes of each token."""
+    own = encoder(path)
+    return np.array([len(own.decode_single_token_bytes(i)) for i in range(own.max_token_value + 1)], np.int64)
+
+
+def piece_counts(words: pa.Array, path: str) -> np.ndarray:
+    """Token counts of " " + word for each of a large_string array: one call encodes all words that neither begin nor end with white space."""
+    own = encoder(path)
+    edged = pc.match_substring_regex(words, f"^{BLANK}|{BLANK}$|^$").to_numpy(zero_copy_only=False)
+    out = np.zeros(len(words), np.int64)
+    for i in np.flatnonzero(edged).tolist():
+        out[i] = len(own.encode_ordinary(" " + words[i].as_py()))
+    plain = words.filter(pa.array(~edged))
+    if len(plain):
+        data, offsets = textscan.raw(plain)
+        size = np.diff(offsets)
+        ends = np.cumsum(size + 1)
+        joined = np.full(int(ends[-1]), 32, np.uint8)
+        joined[np.arange(len(data)) + np.repeat(np.arange(1, len(size) + 1), size)] = data
+        tokens = own.encode_to_numpy(joined.tobytes().decode(), disallowed_special=())
+        upto = np.searchsorted(np.cumsum(token_bytes(path)[tokens]), ends, "left") + 1  # tokens up to each word's end
+        out[~edged] = np.diff(np.append(0, upto))
+    return out
 
 
 def token_counts(column: pa.Array, path: str = VOCABULARY) -> np.ndarray:
     """Exact token counts of a large_string array.
 
-    The pre-tokeniser never joins a single space to what stands before it, so a text without double spaces is the
-    sum of its space-separated pieces, which are counted once for each distinct piece. Other texts are encoded whole.
+    The pre-tokeniser never joins a single space to what stands before it unless there is white space on both of its
+    sides, so any other text is the sum of its space-separated pieces, which are counted once for each distinct piece.
+    Texts with such spaces are encoded whole.
     """
     encode = encoder(path).encode_ordinary
-    doubled = pc.match_substring(column, "  ").to_numpy(zero_copy_only=False)
+    joined = pc.match_substring_regex(column, f"  |{BLANK} {BLANK}").to_numpy(zero_copy_only=False)
     lists = pc.split_pattern(column, " ")
     offsets = lists.offsets.to_numpy()
     offsets = offsets - offsets[0]
     coded = lists.flatten().dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    if len(_counts) > REMEMBERED:
-        _counts.clear()
-    size = np.empty(len(words), np.int64)
-    for i, w in enumerate(words):
-        n = _counts.get(w)
-        if n is None:
-            n = _counts[w] = len(encode(" " + w))
-        size[i] = n
+    words, at = coded.dictionary, coded.indices.to_numpy()
+    size = piece_counts(words, path)
     total = np.zeros(len(coded) + 1, np.int64)
-    np.cumsum(size[coded.indices.to_numpy()], out=total[1:])
+    np.cumsum(size[at], out=total[1:])
     out = total[offsets[1:]] - total[offsets[:-1]]
-    first = coded.indices.to_numpy()[offsets[:-1]]
-    plain: dict[int, int] = {}
-    for i, f in enumerate(first.tolist()):  # the first piece has no space before it
-        n = plain.get(f)
-        if n is None:
-            n = plain[f] = len(encode(words[f]))
-        out[i] += n - size[f]
-    for i in np.flatnonzero(doubled).tolist():
+    first, which = np.unique(at[offsets[:-1]], return_inverse=True)  # the first piece has no space before it
+    out += (np.array([len(encode(words[i].as_py())) for i in first.tolist()], np.int64) - size[first])[which]
+    for i in np.flatnonzero(joined).tolist():
         out[i] = len(encode(column[i].as_py()))
     return out
 
@@ -92,7 +107,7 @@ def lengths(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for got in batches:
             column = textscan.strings(got["text"], lower=False)
-            for a, b in textscan.pieces(column, 4 << 20):
+            for a, b in textscan.pieces(column, CHUNK):
                 yield batch(COUNTED, got["doc_id"].slice(a, b - a), token_counts(column.slice(a, b - a), path))
 
     return arrow_map(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, tokens long")

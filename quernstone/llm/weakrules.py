@@ -153,8 +153,21 @@ def patterns_of(codes: np.ndarray) -> np.ndarray:
     return codes[:, None] // POWERS[None, :] % 3 - 1
 
 
+def fitted(coded: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, posterior of good of each, accuracy of each rule) from vote_codes()."""
+    table = sorted((r.code, r.n) for r in coded.groupBy("code").agg(F.count("*").alias("n")).collect())
+    codes = np.array([c for c, _ in table], np.int64)
+    return codes, *estimate(patterns_of(codes), np.array([n for _, n in table], np.float64))
+
+
+def accuracies(docs: DataFrame) -> DataFrame:
+    """(rule, accuracy): how often each rule is right where it votes, by the fitted model; null for a rule that never votes."""
+    _, _, found = fitted(vote_codes(docs))
+    return docs.sparkSession.createDataFrame([(n, None if np.isnan(x) else round(float(x), 6)) for n, x in zip(RULES, found)], "rule string, accuracy double")
+
+
 def score(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """(doc_id, good_votes, bad_votes, posterior, keep) for every row; keep where the posterior reaches least.
+    """(doc_id, good_votes, bad_votes, posterior, keep) for every row; keep where the posterior reaches least. accuracies() gives the rules' own.
 
     Null text counts as empty; a text without words votes bad on length and abstains otherwise. Repeated rows count
     and are returned each. An empty table gives an empty result. Only the counts of vote patterns (at most
@@ -162,10 +175,8 @@ def score(docs: DataFrame, least: float = 0.5) -> DataFrame:
     doc_id and text are not looked at.
     """
     coded = cut(vote_codes(docs))
-    table = sorted((r.code, r.n) for r in coded.groupBy("code").agg(F.count("*").alias("n")).collect())
-    codes = np.array([c for c, _ in table], np.int64)
+    codes, posterior, _ = fitted(coded)
     patterns = patterns_of(codes)
-    posterior, _ = estimate(patterns, np.array([n for _, n in table], np.float64))
     rows = [(int(c), int((p > 0).sum()), int((p < 0).sum()), round(float(g), 6), bool(g >= least)) for c, p, g in zip(codes, patterns, posterior)]
     side = docs.sparkSession.createDataFrame(rows, "code int, good_votes int, bad_votes int, posterior double, keep boolean")
     return coded.join(F.broadcast(side), "code").select("doc_id", "good_votes", "bad_votes", "posterior", "keep")

@@ -72,7 +72,7 @@ def test_kd_sharding(docs, none):
     assert len(got) == len(ROWS)
     assert len({(r.leaf, r.shard) for r in got if r.doc_id == 7}) == 1  # rows that agree fall together
     assert kdshard.assign(none, target_bytes=500).count() == 0
-    assert {r.shard for r in kdshard.assign(docs, target_bytes=1 << 40).collect()} == {0}
+    assert {r.shard for r in kdshard.assign(docs, target_bytes=1 << 40, least_shards=1).collect()} == {0}
 
 
 def test_knn_quality(docs, none, labels):

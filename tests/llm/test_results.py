@@ -3,8 +3,11 @@
 import base64
 import fnmatch
 import hashlib
+import math
 import random
 import re
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,8 +77,8 @@ def test_decontamination(spark, rows, items):
 
 def test_kd_sharding(spark, rows):
     docs, target = table(spark, FOLDER, "documents"), 40_000
-    local = {r.doc_id: r.leaf for r in kdshard.assign(docs, target, local_rows=1 << 40).collect()}
-    spread = {r.doc_id: r.leaf for r in kdshard.assign(docs, target, local_rows=10).collect()}
+    local = {r.doc_id: r.leaf for r in kdshard.assign(docs, target, local_rows=1 << 40, least_shards=1).collect()}
+    spread = {r.doc_id: r.leaf for r in kdshard.assign(docs, target, local_rows=10, least_shards=1).collect()}
     t = docs.toPandas().sort_values("doc_id")
     rank = lambda c: t[c].map({v: i + 1 for i, v in enumerate(sorted(t[c].unique()))}).to_numpy()
     points = np.stack([t["n_chars"].to_numpy(), t["doc_id"].to_numpy(), rank("source"), rank("lang")], 1)
@@ -97,6 +100,13 @@ def test_kd_sharding(spark, rows):
 
     split("", np.arange(len(ids)))
     assert local == want and spread == want and len(set(want.values())) > 5
+    target = -(-weight.sum() // kdshard.LEAST_SHARDS)  # what the query takes for a small table
+    want.clear()
+    split("", np.arange(len(ids)))
+    got = run(spark, "op2_kd_sharding").collect()
+    assert {r.doc_id: r.leaf for r in got} == want and len(set(want.values())) >= kdshard.LEAST_SHARDS
+    number = {leaf: i for i, leaf in enumerate(sorted(set(want.values())))}
+    assert all(r.shard == number[r.leaf] for r in got)
 
 
 def test_knn_quality_holds_out(spark):
@@ -121,6 +131,66 @@ def test_knn_quality_holds_out(spark):
     assert found.count() == table(spark, FOLDER, "documents").count()
 
 
+def test_knn_quality_is_exact(spark, rows):
+    """Spaces and votes against plain counts, a singular value decomposition by another routine, and cosines one by one."""
+    t = pq.read_table(f"{FOLDER}/documents.parquet").to_pandas()
+    label = {r.doc_id: r.quality for r in table(spark, FOLDER, "labels").collect()}
+    known = [i for i, d in enumerate(t.doc_id) if d in label]
+    truth = np.array([label[t.doc_id[i]] for i in known], float)
+
+    @lru_cache(None)
+    def bucket(stem):
+        """Stems are told apart by 18 bits of their hash."""
+        one = pa.Array.from_buffers(pa.large_string(), 1, [None, pa.py_buffer(np.array([0, len(stem)], np.int64)), pa.py_buffer(stem)])
+        return int(textscan.scan(one).hash[0] >> np.uint64(64 - knnquality.WORD_BITS))
+
+    def counted(text):
+        w = [x.encode()[: knnquality.STEM] for x in brute.words(text)]
+        c = Counter(bucket(x) for x in w)
+        c.update("mark" + x for x in text if x.isascii() and x.isprintable() and not x.isalnum() and x != " ")
+        again, upper = sum(a == b for a, b in zip(w, w[1:])), sum(a.isascii() and b.isascii() and a.isupper() and b.isupper() for a, b in zip(text, text[1:]))
+        c.update({"again": again * (again > 0.1 * len(w)), "upper": upper * (upper > 0.5 * len(w)), "line": text.count("\n")})
+        return {k: v for k, v in c.items() if v}
+
+    every = [counted(x) for x in t.text]
+    sample = [every[i] for i in known]
+    names = sorted({k for c in sample for k in c}, key=str)
+    there = np.array([sum(k in c for c in sample) for k in names], float)
+    both = np.array([sum(y for c, y in zip(sample, truth) if k in c) for k in names])
+    n, own = len(sample), truth.sum()
+    phi = np.abs(n * both - there * own) / np.sqrt(np.maximum(there * (n - there) * own * (n - own), 1e-9))
+    weight = (np.log((1 + n) / (1 + there)) + 0.1) * (knnquality.FLOOR + phi) ** knnquality.POWER
+    at = {k: i for i, k in enumerate(names)}
+
+    def row(c):
+        out = np.zeros(len(names))
+        for k, v in c.items():
+            if k in at:
+                out[at[k]] = weight[at[k]] * np.log1p(v)
+        return out
+
+    x = np.array([row(c) for c in sample])
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    _, _, v = np.linalg.svd(x, full_matrices=False)
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    cosines = unit(np.array([row(c) for c in every]) @ v[: knnquality.RANK].T) @ unit(x @ v[: knnquality.RANK].T).T
+    model = knnquality.fit([t.text[i] for i in known], truth.astype(np.float32))
+    plain = textscan.strings(pa.array(t.text.tolist(), pa.large_string()), lower=False)
+    vectors = knnquality.project(knnquality.terms(plain), model)
+    got = knnquality.vote(vectors, model)
+    assert np.abs(vectors @ model.vectors.T - cosines).max() < 2e-3
+    exact = 0
+    for i, c in enumerate((vectors.astype(np.float64) @ model.vectors.T.astype(np.float64))):
+        near = sorted(c, reverse=True)
+        if near[knnquality.NEIGHBOURS - 1] - near[knnquality.NEIGHBOURS] < 1e-5:
+            continue  # a tie at the last place
+        pick = np.argsort(-c)[: knnquality.NEIGHBOURS]
+        w = np.maximum(c[pick], 0)
+        assert got[i] == pytest.approx((w * truth[pick]).sum() / w.sum(), abs=1e-4)
+        exact += 1
+    assert exact > 0.6 * len(every)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text("ab*?.é", max_size=6), min_size=1, max_size=30), st.lists(st.text("ab.é\U0001f600", max_size=8), min_size=1, max_size=6))
 def test_globs(globs, urls):
@@ -284,7 +354,8 @@ def test_suffix_dedup(spark, rows):
 
 
 def test_packing(spark, rows):
-    column = textscan.strings(pa.array([t for _, t in rows] + ["a  b", " a", "a ", "\n", " \n x", "a \n b", ""], pa.large_string()), lower=False)
+    odd = ["a  b", " a", "a ", "\n", " \n x", "a \n b", "", "a\n \nb", "a\n b", "\t \n", "a\u00a0 \u2003b", " ", "\n \n \n"]
+    column = textscan.strings(pa.array([t for _, t in rows] + odd, pa.large_string()), lower=False)
     encoder = packing.encoder(packing.VOCABULARY)
     want = [len(encoder.encode_ordinary(x)) for x in column.to_pylist()]
     assert packing.token_counts(column).tolist() == want
@@ -296,6 +367,34 @@ def test_packing(spark, rows):
     assert len({r.sequence for r in got}) <= 1.05 * sum(want) / packing.CAPACITY + 2
 
 
+def plain_pack(sizes, capacity):
+    """The same rules by looking through everything each time."""
+    number, offset, bins = [0] * len(sizes), [0] * len(sizes), []
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    left, step = [i for i in order if 3 * sizes[i] > capacity], 0
+    while left:
+        i = left.pop(0)
+        used = sizes[i]
+        number[i] = len(bins)
+        j = next((j for j in left if sizes[j] <= capacity - used), None)
+        if j is not None:
+            left.remove(j)
+            number[j], offset[j] = len(bins), used
+            used += sizes[j]
+        bins.append((capacity - used, step))
+        step += 1
+    for i in (i for i in order if 3 * sizes[i] <= capacity):
+        fits = [(gap, -when, k) for k, (gap, when) in enumerate(bins) if gap >= sizes[i]]
+        if not fits:
+            bins.append((capacity, step))
+            fits = [(capacity, 0, len(bins) - 1)]
+        gap, _, k = min(fits)
+        number[i], offset[i] = k, capacity - gap
+        bins[k] = (gap - sizes[i], step)
+        step += 1
+    return number, offset
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 60), max_size=60))
 def test_pack_rules(sizes):
@@ -307,6 +406,7 @@ def test_pack_rules(sizes):
         assert offset[at[0]] == 0 and (offset[at[1:]] == offset[at[:-1]] + size[at[:-1]]).all() and offset[at[-1]] + size[at[-1]] <= 60
         assert (3 * size[at] > 60).sum() <= 2
     gaps = [60 - size[number == k].sum() for k in set(number.tolist())]
+    assert (number.tolist(), offset.tolist()) == plain_pack(sizes, 60)
     small = size[3 * size <= 60]
     assert sum(g >= (small.min() if len(small) else 61) for g in gaps) <= 1 + (3 * size > 60).sum()
 
@@ -401,6 +501,30 @@ def test_weak_supervision(spark):
     assert len(got) == len(t)
 
 
+def test_estimate_is_plain_em(spark, rows):
+    """Posteriors and accuracies against the same model fitted document by document."""
+    votes = weakrules.votes(textscan.strings(pa.array([t for _, t in rows], pa.large_string()), lower=False), weakrules._stop_hashes()).tolist()
+    good = [min(0.95, max(0.05, sum(x > 0 for x in v) / sum(map(abs, v)))) if any(v) else 0.5 for v in votes]
+    for _ in range(weakrules.ROUNDS):
+        share = [(sum(1 - g for g in good) + 1) / (len(good) + 2), (sum(good) + 1) / (len(good) + 2)]
+        chance = []
+        for r in range(len(weakrules.RULES)):
+            cell = [[sum((g if c else 1 - g) for g, v in zip(good, votes) if v[r] == x) + 1 for x in (-1, 1)] for c in (0, 1)]
+            chance.append([[y / sum(x) for y in x] for x in cell])
+        before, good = good, []
+        for v in votes:
+            p = [share[c] * math.prod(chance[r][c][x > 0] for r, x in enumerate(v) if x) for c in (0, 1)]
+            good.append(p[1] / sum(p))
+        if max(abs(a - b) for a, b in zip(before, good)) < 1e-9:
+            break
+    got = {r.doc_id: r.posterior for r in run(spark, "op10_weak_supervision").collect()}
+    assert [got[d] for d, _ in rows] == pytest.approx(good, abs=2e-6)
+    right = {r.rule: r.accuracy for r in weakrules.accuracies(table(spark, FOLDER, "documents")).collect()}
+    for r, name in enumerate(weakrules.RULES):
+        made = [(v[r], g) for v, g in zip(votes, good) if v[r]]
+        assert right[name] == (pytest.approx(sum(g if x > 0 else 1 - g for x, g in made) / len(made), abs=2e-6) if made else None)
+
+
 def test_votes_do_not_depend_on_neighbours():
     texts = ["a b c.", "", "THE END OF IT\nTHE END OF IT", "x x x x x x x x", None, "the cat and the dog\n\nsat | on | it"]
     stop = weakrules._stop_hashes()
