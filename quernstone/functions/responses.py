@@ -44,40 +44,48 @@ def as_bool(text: Column) -> Column:
     return F.when(low.isin("true", "1", "yes", "y", "on", "t"), True).when(low.isin("false", "0", "no", "n", "off", "f"), False)
 
 
-def parse_response(text: Column) -> Column:
-    """Struct of reasoning, vulnerabilities(cwe_id, description), is_vulnerable and cwe_list, null where the JSON cannot be read."""
-    r = F.from_json(F.nullif(json_block(text), F.lit("")), RESPONSE + ", __bad string", {"columnNameOfCorruptRecord": "__bad"})
+def with_parsed(df: DataFrame, text: str, out: str = "parsed") -> DataFrame:
+    """Adds a struct of reasoning, vulnerabilities(cwe_id, description), is_vulnerable and cwe_list, null where the JSON cannot be read.
+
+    The JSON is read once for each row: it is a column of its own before its fields are looked at.
+    """
+    got = df.withColumn("__r", F.from_json(F.nullif(json_block(F.col(text)), F.lit("")), RESPONSE + ", __bad string", {"columnNameOfCorruptRecord": "__bad"}))
+    r = F.col("__r")
     found = F.transform(r["vulnerabilities"], lambda v: F.struct(as_int(v["cwe_id"]).alias("cwe_id"), v["description"].alias("description")))
     listed = F.transform(r["verdict"]["cwe_list"], as_int)
-    return F.when(r.isNotNull() & r["__bad"].isNull(), F.struct(r["reasoning"].alias("reasoning"), found.alias("vulnerabilities"), as_bool(r["verdict"]["is_vulnerable"]).alias("is_vulnerable"), listed.alias("cwe_list")))
+    whole = F.struct(r["reasoning"].alias("reasoning"), found.alias("vulnerabilities"), as_bool(r["verdict"]["is_vulnerable"]).alias("is_vulnerable"), listed.alias("cwe_list"))
+    return got.withColumn(out, F.when(r.isNotNull() & r["__bad"].isNull(), whole)).drop("__r")
 
 
-def response_error(text: Column, least_reasoning: int = 50, least_description: int = 1) -> Column:
-    """Why a response is not valid, or null: empty_response, missing_verdict, invalid_json, validation_error, empty_reasoning or mismatch.
+def with_error(df: DataFrame, text: str, least_reasoning: int = 50, least_description: int = 1, out: str = "error", parsed: str = "parsed") -> DataFrame:
+    """Adds with_parsed()'s struct and why a response is not valid, or null: empty_response, missing_verdict, invalid_json, validation_error, empty_reasoning or mismatch.
 
     The training model asks for 50 characters of reasoning, the generation model (0, 10) for longer descriptions.
     """
-    p = parse_response(text)
+    df = with_parsed(df, text, parsed)
+    p, t = F.col(parsed), F.col(text)
     bad = p["reasoning"].isNull() | p["is_vulnerable"].isNull() | p["cwe_list"].isNull() | p["vulnerabilities"].isNull()
     bad = bad | (F.length(p["reasoning"]) < least_reasoning)
     bad = bad | F.exists(p["vulnerabilities"], lambda v: v["cwe_id"].isNull() | ~v["cwe_id"].between(1, 9999) | v["description"].isNull() | (F.length(v["description"]) < least_description)) | F.exists(p["cwe_list"], lambda x: x.isNull())
     ids = lambda x: F.array_sort(F.array_distinct(x))
     apart = (p["is_vulnerable"] & (F.size(p["vulnerabilities"]) == 0)) | (ids(p["cwe_list"]) != ids(F.transform(p["vulnerabilities"], lambda v: v["cwe_id"])))
-    return (
-        F.when(blank(text), "empty_response").when(json_block(text) == "", "missing_verdict").when(p.isNull(), "invalid_json")
-        .when(F.coalesce(p["reasoning"].isNotNull() & blank(p["reasoning"]) & (F.length(p["reasoning"]) >= least_reasoning), F.lit(False)), "empty_reasoning")
+    why = (
+        F.when(blank(t), "empty_response").when(p.isNull() & (json_block(t) == ""), "missing_verdict").when(p.isNull(), "invalid_json")
+        .when(F.coalesce(blank(p["reasoning"]) & (F.length(p["reasoning"]) >= least_reasoning), F.lit(False)), "empty_reasoning")
         .when(F.coalesce(bad, F.lit(True)), "validation_error").when(apart, "mismatch")
     )
+    return df.withColumn(out, why)
 
 
 def parser_stats(df: DataFrame, text: str, **limits) -> DataFrame:
     """(outcome, n): success and each kind of failure."""
-    return df.groupBy(F.coalesce(response_error(F.col(text), **limits), F.lit("success")).alias("outcome")).agg(F.count("*").alias("n"))
+    return with_error(df, text, **limits).groupBy(F.coalesce("error", F.lit("success")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
 def batch_results(lines: DataFrame, value: str = "value", **limits) -> DataFrame:
     """(custom_id, content, error) of batch result lines: transport errors, empty choices and invalid responses are named, else error is null."""
     kind = "custom_id string, error string, response struct<body struct<choices array<struct<message struct<content string>>>>>"
-    r = F.from_json(value, kind)
-    got = lines.select(r["custom_id"].alias("custom_id"), r["error"].alias("__e"), F.try_element_at(r["response"]["body"]["choices"], F.lit(1))["message"]["content"].alias("content"))
-    return got.select("custom_id", "content", F.when(F.col("custom_id").isNull(), "bad_line").when(F.col("__e").isNotNull(), "request_error").when(F.col("content").isNull(), "no_content").otherwise(response_error(F.col("content"), **limits)).alias("error"))
+    got = lines.select(F.from_json(value, kind).alias("r"))
+    got = got.select("r.custom_id", F.col("r.error").alias("__e"), F.try_element_at("r.response.body.choices", F.lit(1))["message"]["content"].alias("content"))
+    why = F.when(F.col("custom_id").isNull(), "bad_line").when(F.col("__e").isNotNull(), "request_error").when(F.col("content").isNull(), "no_content").otherwise(F.col("__why"))
+    return with_error(got, "content", out="__why", **limits).select("custom_id", "content", why.alias("error"))

@@ -42,7 +42,8 @@ def enrich(df: DataFrame, lookup: DataFrame, labels: str = "cwe", out: str = "cw
     """Adds, position by position, the description of each label; missing where the dictionary has none.
 
     The dictionary's last row of a key wins. A small dictionary (counted) is broadcast as a map, without a shuffle of
-    df; with a larger one positions travel with the labels, so the order survives the shuffle.
+    df; with a larger one each distinct list of labels is looked up once, positions travelling with its labels, and
+    rows are joined to their list. Rows need no id: both ways give a row the same, whatever its other columns hold.
     """
     placed = lookup.select(F.col(key).alias("__key"), F.col(text).alias("__t"), F.monotonically_increasing_id().alias("__i"))
     one = placed.filter("__key IS NOT NULL").groupBy("__key").agg(F.max_by("__t", "__i").alias("__text"))
@@ -50,10 +51,10 @@ def enrich(df: DataFrame, lookup: DataFrame, labels: str = "cwe", out: str = "cw
         table = one.agg(F.map_from_entries(F.collect_list(F.struct("__key", "__text"))).alias("__map"))
         joined = df.crossJoin(F.broadcast(table))
         return joined.withColumn(out, F.transform(F.coalesce(labels, F.array().cast("array<string>")), lambda x: F.coalesce(F.try_element_at("__map", strip_prefix(x)), F.lit(missing)))).drop("__map")
-    base = df.withColumn("__row", F.monotonically_increasing_id()) if "id" not in df.columns else df.withColumn("__row", F.col("id"))
-    pairs = base.select("__row", F.posexplode(labels).alias("__pos", "__label")).withColumn("__key", strip_prefix(F.col("__label")))
-    found = pairs.join(one, "__key", "left").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("__pos", F.coalesce("__text", F.lit(missing)).alias("t")))).alias("__got"))
-    return base.join(found, "__row", "left").withColumn(out, F.coalesce(F.transform("__got", lambda x: x["t"]), F.array().cast("array<string>"))).drop("__row", "__got")
+    lists = df.select(F.col(labels).alias("__labels")).filter("__labels IS NOT NULL").distinct()
+    pairs = lists.select("__labels", F.posexplode("__labels").alias("__pos", "__label")).withColumn("__key", strip_prefix(F.col("__label")))
+    found = pairs.join(one, "__key", "left").groupBy("__labels").agg(F.sort_array(F.collect_list(F.struct("__pos", F.coalesce("__text", F.lit(missing)).alias("t")))).alias("__got"))
+    return df.join(found, F.col(labels) == F.col("__labels"), "left").withColumn(out, F.coalesce(F.transform("__got", lambda x: x["t"]), F.array().cast("array<string>"))).drop("__labels", "__got")
 
 
 def enrich_by_map(df: DataFrame, lookup: dict[str, str], labels: str = "cwe", out: str = "cwe_desc", missing: str = MISSING) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from quernstone.functions import prompts
 from quernstone.operators import labels
 from quernstone.plans.registry import query
 from quernstone.plans.standins import DESCRIBED, DICTIONARY, JUDGEMENTS, SAMPLES, TEXTS, described, dictionary, judgements, samples, texts
-from quernstone.session import table
+from quernstone.session import shared_folder, table
 from quernstone.sources import readers, writers
 
 S = "WITH " + SAMPLES
@@ -21,9 +20,8 @@ RAW = "id long, project string, target int, cwe array<string>, token_count int,
 
 
 def scratch(spark, name: str) -> str:
-    """A new folder for a query's files, below the shared folder where there is one."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="quernstone-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A new folder for a query's files, below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(spark, sf_dir, bad: bool = False) -> str:
@@ -168,13 +166,21 @@ def k12(spark, sf_dir):
     return r.select("r.custom_id", "r.method", "r.body.model", F.size("r.body.messages").cast("long").alias("messages"), F.substring(F.element_at("r.body.messages", 2)["content"], 1, 200).alias("content"))
 
 
-@query("k10_markdown_report")
+AUDIT = S + ", " + DICTIONARY + """, a AS (SELECT s.id, label, lower(coalesce(status, 'unknown')) AS low FROM (SELECT id, unnest(cwe) AS label FROM samples) s LEFT JOIN (SELECT id AS k, status FROM dictionary) d ON replace(label, 'CWE-', '') = k),
+    b AS (SELECT CASE WHEN low IN ('deprecated', 'draft', 'unknown') THEN low WHEN low IN ('stable', 'incomplete') THEN 'stable' ELSE 'other' END AS bucket, count(DISTINCT label) AS labels, count(*) AS occurrences, count(DISTINCT id) AS rows_affected FROM a GROUP BY 1)"""
+NL = " || chr(10) || "
+
+
+@query("k10_markdown_report", AUDIT + f""" SELECT 'markdown' AS kind, '## Status'{NL}chr(10) || '| bucket | labels | occurrences | rows_affected |'{NL}'| --- | --- | --- | --- |'{NL}
+    string_agg('| ' || bucket || ' | ' || labels || ' | ' || occurrences || ' | ' || rows_affected || ' |', chr(10) ORDER BY bucket) AS text FROM b
+    UNION ALL SELECT 'latex', '\\begin{{table}}'{NL}'\\begin{{tabular}}{{llll}}'{NL}'bucket & labels & occurrences & rows\\_affected \\\\'{NL}'\\hline'{NL}
+    string_agg(bucket || ' & ' || labels || ' & ' || occurrences || ' & ' || rows_affected || ' \\\\', chr(10) ORDER BY bucket){NL}'\\end{{tabular}}'{NL}'\\caption{{Status}}'{NL}'\\end{{table}}' FROM b""")
 def k10(spark, sf_dir):
     counts = labels.status_audit(samples(spark, sf_dir), dictionary(spark, sf_dir)).orderBy("bucket")
     return spark.createDataFrame([("markdown", writers.markdown(counts, "Status")), ("latex", writers.latex(counts, "Status"))], "kind string, text string")
 
 
-@query("k11_yaml_report")
+@query("k11_yaml_report", f"SELECT '---'{NL}'rows: ' || count(*){NL}'note: |-'{NL}'  two'{NL}'  lines'{NL}'---'{NL}'rows: 0' || chr(10) AS text FROM labels")
 def k11(spark, sf_dir):
     n = table(spark, sf_dir, "labels").count()
     return spark.createDataFrame([(writers.yaml_documents([{"rows": n, "note": "two\nlines"}, {"rows": 0}]),)], "text string")

@@ -42,7 +42,8 @@ def j02(spark, sf_dir):
     return rows.select("id", F.array_join(F.transform("per_judge_evaluations", lambda x: x["judge_name"]), ",").alias("judges"))
 
 
-@query("j08_judge_pairs", J + " SELECT a.sample_id, a.judge_name AS judge_a, b.judge_name AS judge_b, round(abs(a.confidence - b.confidence), 6) AS gap FROM judgements a JOIN judgements b ON a.sample_id = b.sample_id AND a.judge_name < b.judge_name")
+@query("j08_judge_pairs", J + """, l AS (SELECT sample_id, list({'j': judge_name, 'c': confidence}) AS js FROM judgements GROUP BY sample_id), p AS (SELECT sample_id, js, unnest(js) AS a FROM l), q AS (SELECT sample_id, a, unnest(js) AS b FROM p)
+    SELECT sample_id, a.j AS judge_a, b.j AS judge_b, round(abs(a.c - b.c), 6) AS gap FROM q WHERE a.j < b.j""")
 def j08(spark, sf_dir):
     return jury.pairs(judgements(spark, sf_dir), columns=("confidence",)).select("sample_id", "judge_a", "judge_b", F.round(F.abs(F.col("a_confidence") - F.col("b_confidence")), 6).alias("gap"))
 

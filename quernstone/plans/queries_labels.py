@@ -55,6 +55,12 @@ def j01(spark, sf_dir):
     return described(spark, sf_dir).select("id", F.array_join("cwe_desc", "|").alias("descriptions"))
 
 
+@query("j01_enrich_by_join", D + " SELECT id, array_to_string(cwe_desc, '|') AS descriptions FROM described")
+def j01_join(spark, sf_dir):
+    got = labels.enrich(samples(spark, sf_dir), dictionary(spark, sf_dir), map_rows=0)
+    return got.select("id", F.array_join("cwe_desc", "|").alias("descriptions"))
+
+
 @query("j01_enrich_by_map", D + " SELECT id, array_to_string(cwe_desc, '|') AS descriptions FROM described")
 def j01_map(spark, sf_dir):
     table = {r.id: r.description for r in dictionary(spark, sf_dir).collect()}

@@ -132,39 +132,49 @@ def x22(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", responses.parse_judgement(text).alias("j")).select("event_id", "j.quality_score", "j.confidence", "j.parse_error", "j.justification")
 
 
-CASES = ("empty_response", "missing_verdict", "invalid_json", "validation_error", "mismatch", "success", "validation_error", "mismatch")
+def answers(spark, sf_dir):
+    """Model answers by number of event: of eight kinds, with reasons, labels and descriptions that follow the number."""
+    n = F.col("event_id")
+    kind, label = n % 8, n * 7 % 10100
+    reason = F.repeat(F.when(kind == 6, F.lit(" ")).otherwise(F.lit("x")), (n % 97).cast("int"))
+    quoted = F.when(kind == 4, F.concat(F.lit('"'), label.cast("string"), F.lit('"'))).otherwise(label.cast("string"))
+    listed = F.when(n % 3 == 0, (label + 1).cast("string")).when(n % 2 == 0, F.concat_ws(", ", label.cast("string"), label.cast("string"))).otherwise(label.cast("string"))
+    one = F.concat(F.lit('{"cwe_id": '), quoted, F.lit(', "description": "'), F.repeat(F.lit("d"), (n % 13).cast("int")), F.lit('"}'))
+    verdict = F.when(kind == 7, (n % 2 == 0).cast("string")).when(kind == 4, F.when(n % 5 == 0, '"no"').otherwise('"yes"')).otherwise((n % 5 != 0).cast("string"))
+    whole = F.concat(
+        F.when(kind == 5, "Sure: ").otherwise(""), F.lit('{"reasoning": "'), reason, F.lit('", "vulnerabilities": ['), F.when(kind == 7, "").otherwise(one), F.lit('], "verdict": {"is_vulnerable": '), verdict,
+        F.lit(', "cwe_list": ['), F.when(kind == 7, "").otherwise(listed), F.lit("]}}"), F.when(kind == 5, "\nDone.").otherwise(""),
+    )
+    text = F.when(kind == 0, F.repeat(F.lit(" "), (n % 5).cast("int"))).when(kind == 1, F.concat(F.lit("I cannot say, case "), n.cast("string"))).when(kind == 2, F.concat(F.lit('{"reasoning": '), n.cast("string"), F.lit(', "verdict"}'))).otherwise(whole)
+    return table(spark, sf_dir, "events").select("event_id", text.alias("answer"))
 
 
-def answers(spark, sf_dir):
-    """Model answers of known outcome, by number of event."""
-    long = "x" * 60
-    forms = [
-        "  \n", "I cannot say.", '{"reasoning": }', '{"reasoning": "short", "verdict": {"cwe_list": [], "is_vulnerable": false}, "vulnerabilities": []}',
-        f'{{"reasoning": "{long}", "vulnerabilities": [], "verdict": {{"is_vulnerable": true, "cwe_list": []}}}}',
-        f'Sure: {{"reasoning": "{long}", "vulnerabilities": [{{"cwe_id": "79", "description": "cross site"}}], "verdict": {{"is_vulnerable": "yes", "cwe_list": [79, 79]}}}}',
-        f'{{"reasoning": "{long}", "vulnerabilities": [{{"cwe_id": 0, "description": "d"}}], "verdict": {{"is_vulnerable": true, "cwe_list": [0]}}}}',
-        f'{{"reasoning": "{long}", "vulnerabilities": [{{"cwe_id": 79, "description": "d"}}], "verdict": {{"is_vulnerable": true, "cwe_list": [80]}}}}',
-    ]
-    return table(spark, sf_dir, "events").select("event_id", F.element_at(F.array(*map(F.lit, forms)), (F.col("event_id") % 8 + 1).cast("int")).alias("answer"))
+def outcome(reasoning: int, description: int) -> str:
+    """The outcome of answers() in SQL."""
+    return f"""CASE event_id % 8 WHEN 0 THEN 'empty_response' WHEN 1 THEN 'missing_verdict' WHEN 2 THEN 'invalid_json' ELSE
+        CASE WHEN (event_id % 8 = 6 OR event_id % 97 = 0) AND event_id % 97 >= {reasoning} THEN 'empty_reasoning'
+             WHEN event_id % 97 < {reasoning} OR (event_id % 8 <> 7 AND (event_id * 7 % 10100 NOT BETWEEN 1 AND 9999 OR event_id % 13 < {description})) THEN 'validation_error'
+             WHEN CASE WHEN event_id % 8 = 7 THEN event_id % 2 = 0 ELSE event_id % 3 = 0 END THEN 'mismatch' ELSE 'success' END END"""
 
 
-OUTCOME = "list_value(" + ", ".join(f"'{c}'" for c in CASES) + ")[event_id % 8 + 1]"
+OUTCOME = outcome(50, 1)
 
 
 @query("x24_response_validation", f"SELECT event_id, {OUTCOME} AS outcome FROM events")
 def x24(spark, sf_dir):
-    return answers(spark, sf_dir).select("event_id", F.coalesce(responses.response_error(F.col("answer")), F.lit("success")).alias("outcome"))
+    return responses.with_error(answers(spark, sf_dir), "answer").select("event_id", F.coalesce("error", F.lit("success")).alias("outcome"))
 
 
-@query("x25_generation_validation", "SELECT event_id, list_value('empty_response', 'missing_verdict', 'invalid_json', 'success', 'mismatch', 'success', 'validation_error', 'validation_error')[event_id % 8 + 1] AS outcome FROM events")
+@query("x25_generation_validation", f"SELECT event_id, {outcome(0, 10)} AS outcome FROM events")
 def x25(spark, sf_dir):
-    return answers(spark, sf_dir).select("event_id", F.coalesce(responses.response_error(F.col("answer"), 0, 10), F.lit("success")).alias("outcome"))
+    return responses.with_error(answers(spark, sf_dir), "answer", 0, 10).select("event_id", F.coalesce("error", F.lit("success")).alias("outcome"))
 
 
-@query("x23_parsed_samples", "SELECT event_id, 79 AS cwe_id, true AS is_vulnerable FROM events WHERE event_id % 8 = 5")
+@query("x23_parsed_samples", f"""SELECT event_id, CASE WHEN event_id % 8 <> 7 THEN CAST(event_id * 7 % 10100 AS INTEGER) END AS cwe_id, CASE WHEN event_id % 8 = 7 THEN event_id % 2 = 0 ELSE event_id % 5 <> 0 END AS is_vulnerable, CAST(event_id % 97 AS INTEGER) AS chars
+    FROM events WHERE {OUTCOME} = 'success'""")
 def x23(spark, sf_dir):
-    got = answers(spark, sf_dir).filter(responses.response_error(F.col("answer")).isNull()).select("event_id", responses.parse_response(F.col("answer")).alias("p"))
-    return got.select("event_id", F.element_at("p.vulnerabilities", 1)["cwe_id"].alias("cwe_id"), "p.is_vulnerable")
+    got = responses.with_error(answers(spark, sf_dir), "answer").filter("error IS NULL")
+    return got.select("event_id", F.get("parsed.vulnerabilities", 0)["cwe_id"].alias("cwe_id"), "parsed.is_vulnerable", F.length("parsed.reasoning").alias("chars"))
 
 
 @query("g41_parser_stats", f"SELECT {OUTCOME} AS outcome, count(*) AS n FROM events GROUP BY 1")

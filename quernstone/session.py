@@ -40,15 +40,25 @@ def ship(spark: SparkSession) -> None:
     context._quernstone_shipped = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df by a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or the checkpoint folder that the context was given.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where that is unset (local tests) a
-    folder of our own is used.
+    Only where there is neither and all runs in one process on this machine (local tests) is it a temporary folder; on
+    a cluster that is an error.
     """
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", "") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quernstone-checkpoint-"))
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
+    if named:
+        return named
+    if context.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="quernstone-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of df by a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

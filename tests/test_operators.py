@@ -108,6 +108,16 @@ def test_enrich_keeps_order_and_duplicates(spark):
         assert got == {1: ["two", "one", "two", labels.MISSING], 2: []}
 
 
+def test_enrich_looks_at_no_id(spark):
+    """Rows with repeated or null ids, equal rows, null lists and null labels get their own descriptions, either way."""
+    rows = [(7, ["1", "2"], 0), (7, ["2"], 1), (None, ["1"], 2), (None, ["1"], 2), (8, None, 3), (8, ["3", None, "1"], 4), (9, [], 5)]
+    df = spark.createDataFrame(rows, "id long, cwe array<string>, k int")
+    lookup = spark.createDataFrame([("1", "one"), ("2", "two"), (None, "none")], "id string, description string")
+    want = sorted([(0, ["one", "two"]), (1, ["two"]), (2, ["one"]), (2, ["one"]), (3, []), (4, [labels.MISSING, labels.MISSING, "one"]), (5, [])])
+    for n in (labels.MAP_ROWS, 0):
+        assert sorted((r.k, r.cwe_desc) for r in labels.enrich(df, lookup, map_rows=n).collect()) == want
+
+
 def test_numeric_frequencies_stop_at_bad_id(spark):
     df = frame(spark, [(1, ["CWE-1", "x", "CWE-2"]), (2, ["CWE-1"]), (3, [])])
     assert {r.label: r.n for r in labels.numeric_frequencies(df).collect()} == {1: 2}
@@ -170,7 +180,7 @@ def test_judgement_fallback_and_clip(spark):
 def test_response_blank_reasoning(spark):
     text = '{"reasoning": "' + " " * 60 + '", "verdict": {"cwe_list": [], "is_vulnerable": false}, "vulnerabilities": []}'
     df = spark.createDataFrame([(text,), (None,)], "t string")
-    assert [r.e for r in df.select(responses.response_error(F.col("t")).alias("e")).collect()] == ["empty_reasoning", "empty_response"]
+    assert [r.e for r in responses.with_error(df, "t", out="e").collect()] == ["empty_reasoning", "empty_response"]
 
 
 def test_known_outcome_mismatch_raises(spark):
