@@ -11,10 +11,13 @@ import re
 import shutil
 import subprocess
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quernstone.functions import cpreprocessor
+
 TOKEN = re.compile(
     r"""(?P<comment>//[^\n]*|/\*.*?(?:\*/|\Z))|(?P<string>L?"(?:\\.|[^"\\\n])*"?|L?'(?:\\.|[^'\\\n])*'?)|(?P<directive>^[ \t]*\#(?:\\\r?\n|[^\n])*)"""
     r"""|(?P<word>[A-Za-z_]\w*)|(?P<number>\.?\d(?:[\w.]|[eEpP][+-])*)|(?P<op>&&|\|\||->|\+\+|--|<<=?|>>=?|[-+*/%&|^=!<>]=|\.\.\.|::|[^\s\w])""",
@@ -31,8 +34,9 @@ CONTROL = frozenset("if for while switch do else return sizeof case goto".split(
 TYPES = frozenset("void int char short long float double signed unsigned struct union enum const static inline extern volatile register size_t bool _Bool".split())
 
 
+@lru_cache(maxsize=4)
 def lex(code: str) -> list[tuple[str, str, int]]:
-    """(kind, text, offset) of the tokens, comments and directives included."""
+    """(kind, text, offset) of the tokens, comments and directives included. Steps that leave the code as it is share one pass."""
     return [(m.lastgroup, m.group(), m.start()) for m in TOKEN.finditer(code)]
 
 
@@ -109,6 +113,8 @@ def with_return_type(code: str) -> str:
     depth = 0
     for i in range(lead + 1, len(seen)):
         depth += {"(": 1, ")": -1}.get(seen[i][1], 0)
+        if depth == 0 and i + 1 < len(seen) and seen[i + 1][1] == "(":
+            continue  # a name made by a macro, then the list
         if depth == 0:
             # the list may be followed by declarations of old style before the block
             rest = [t for _, t, _ in seen[i + 1 :]]
@@ -120,34 +126,41 @@ def with_return_type(code: str) -> str:
 
 
 def without_dangling_directives(code: str) -> str:
-    """Lines of conditionals that do not match go: an #else, #elif or #endif without an opening, an opening without #endif, and what hangs on it."""
+    """Directives that no conditional holds go: an #else, #elif or #endif without an opening, and a second #else.
+
+    Of an #else or #elif without an opening that an #endif closes the lines between go too, unless there are
+    conditionals among them. An opening that is not closed stays: see with_closed_directives.
+    """
     lines = code.split("\n")
-    stack: list[list[int]] = []
+    ended: list[bool] = []  # of each open conditional: whether its #else was there
     drop: set[int] = set()
+    loose: int | None = None  # line of an #else or #elif without an opening
     skip = -1
     for i, line in enumerate(lines):
         m = re.match(r"[ \t]*#\s*(\w*)", line)
         if not m or i <= skip:
             continue
-        end = i
-        while lines[end].rstrip("\r").endswith("\\") and end + 1 < len(lines):
-            end += 1
-        skip = end
-        own = list(range(i, end + 1))
+        skip = i
+        while lines[skip].rstrip("\r").endswith("\\") and skip + 1 < len(lines):
+            skip += 1
+        own = range(i, skip + 1)
         if m[1] in ("if", "ifdef", "ifndef"):
-            stack.append(own)
+            ended.append(False)
+            loose = None
         elif m[1] in ("else", "elif"):
-            if stack:
-                stack[-1] += own
-            else:
+            if not ended:
+                loose = i
+                drop.update(own)
+            elif ended[-1]:
                 drop.update(own)
+            else:
+                ended[-1] = m[1] == "else"
         elif m[1] == "endif":
-            if stack:
-                stack.pop()
+            if ended:
+                ended.pop()
             else:
-                drop.update(own)
-    for own in stack:
-        drop.update(own)
+                drop.update(own if loose is None else range(loose, skip + 1))
+                loose = None
     return "\n".join(x for i, x in enumerate(lines) if i not in drop)
 
 
@@ -201,15 +214,28 @@ def looks_cpp(column: Column) -> Column:
     return F.coalesce(F.rlike(column, F.lit("|".join(CPP_SIGNS))), F.lit(False))
 
 
-def preprocess(code: str, seconds: int = 10) -> str | None:
-    """Output of the C preprocessor without line marks; None if there is none or it fails."""
-    gcc = shutil.which("gcc")
-    if gcc is None:
+def run_tool(command: list[str], code: str, seconds: float) -> str | None:
+    """Output of a program that reads code; None if it is not installed, fails, or takes longer than seconds."""
+    program = shutil.which(command[0])
+    if program is None:
+        return None
+    try:
+        got = subprocess.run([program, *command[1:]], input=code, capture_output=True, text=True, timeout=seconds, check=False)
+    except (subprocess.TimeoutExpired, OSError, UnicodeError):
         return None
-    got = subprocess.run([gcc, "-E", "-P", "-x", "c", "-"], input=code, capture_output=True, text=True, timeout=seconds, check=False)
     return got.stdout if got.returncode == 0 else None
 
 
+def preprocess(code: str, tool: str = "builtin", seconds: float = 10) -> str | None:
+    """The code preprocessed, without line marks, by cpreprocessor (builtin) or by a compiler (gcc); None if that fails.
+
+    A compiler is started for each text, knows its own macros and finds its headers; builtin is the same everywhere.
+    """
+    if tool == "builtin":
+        return cpreprocessor.preprocess(code)
+    return run_tool([tool, "-E", "-P", "-x", "c", "-"], code, seconds)
+
+
 def balanced(code: str) -> bool:
     depth = 0
     for kind, text, _ in lex(code):
@@ -220,20 +246,26 @@ def balanced(code: str) -> bool:
     return depth == 0
 
 
-def process(code: str | None, run_preprocessor: bool = False) -> tuple[str | None, str]:
-    """(clean function, status): ok, or why it was rejected."""
+def process(code: str | None, tool: str | None = "builtin") -> tuple[str | None, str]:
+    """(clean function, status): ok, or why it was rejected: empty, preprocessor, no_function or unbalanced.
+
+    tool names the preprocessor; where it fails, dangling directives go, open ones are closed, and it is tried again.
+    None leaves directives in place.
+    """
     code = without_comments(ascii_only(code or ""))
     if not code.strip():
         return None, "empty"
-    if run_preprocessor:
-        got = preprocess(code)
+    if tool is None:
+        code = with_closed_directives(without_dangling_directives(code))
+    else:
+        got = preprocess(code, tool)
         if got is None:
-            got = preprocess(with_closed_directives(without_dangling_directives(code)))
+            got = preprocess(with_closed_directives(without_dangling_directives(code)), tool)
         if got is None:
             return None, "preprocessor"
         code = got
-    else:
-        code = with_closed_directives(without_dangling_directives(code))
+        if not code.strip():
+            return None, "empty"
     code = with_return_type(with_closed_braces(code))
     code = body(code)
     if code is None or not is_function(code):
@@ -241,7 +273,7 @@ def process(code: str | None, run_preprocessor: bool = False) -> tuple[str | Non
     return (code, "ok") if balanced(code) else (None, "unbalanced")
 
 
-def clean(df: DataFrame, column: str = "func", run_preprocessor: bool = False, step: Callable[[str], str] | None = None) -> DataFrame:
+def clean(df: DataFrame, column: str = "func", tool: str | None = "builtin", step: Callable[[str], str] | None = None) -> DataFrame:
     """Adds clean, status, cyclomatic_complexity. Cheap JVM-side filters belong before this call; step is a further function on the code."""
 
     @F.pandas_udf("clean string, status string, cyclomatic_complexity int")
@@ -253,7 +285,7 @@ def clean(df: DataFrame, column: str = "func", run_preprocessor: bool = False, s
                 if code not in memo:
                     if len(memo) >= 1000:
                         memo.clear()
-                    got, status = process(code, run_preprocessor)
+                    got, status = process(code, tool)
                     got = step(got) if step and got is not None else got
                     memo[code] = (got, status, complexity(got) if got is not None else None)
                 rows.append(memo[code])
@@ -262,10 +294,17 @@ def clean(df: DataFrame, column: str = "func", run_preprocessor: bool = False, s
     return df.withColumn("__c", run(F.col(column))).select(*df.columns, "__c.clean", "__c.status", "__c.cyclomatic_complexity")
 
 
-def format_code(code: str, style: str = "LLVM", seconds: int = 10) -> tuple[str, str]:
-    """(code, status): formatted where the formatter is installed, else as it is with status unformatted."""
-    tool = shutil.which("clang-format")
-    if tool is None:
-        return code, "unformatted"
-    got = subprocess.run([tool, f"--style={style}", "--assume-filename=a.c"], input=code, capture_output=True, text=True, timeout=seconds, check=False)
-    return (got.stdout, "formatted") if got.returncode == 0 else (code, "unformatted")
+def applied(step: Callable[[str], object], column: Column, kind: str = "string") -> Column:
+    """One of the functions on code over a column, batch by batch; null stays null."""
+
+    @F.pandas_udf(kind)
+    def run(codes: pd.Series) -> pd.Series:
+        return codes.map(lambda c: None if c is None else step(c))
+
+    return run(column)
+
+
+def format_code(code: str, style: str = "LLVM", seconds: float = 10) -> tuple[str, str]:
+    """(code, status): formatted where the formatter is installed and does its work in time, else as it is with status unformatted."""
+    got = run_tool(["clang-format", f"--style={style}", "--assume-filename=a.c"], code, seconds)
+    return (code, "unformatted") if got is None else (got, "formatted")

@@ -66,37 +66,118 @@ def x01(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", scalars.ascii_only(F.col("text")).alias("clean"))
 
 
+def made(spark, sf_dir, *forms):
+    """(doc_id, func): the forms in turn, {n} being the document's number."""
+    n = F.col("doc_id")
+    turn = F.element_at(F.array(*map(F.lit, forms)), (n % len(forms) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.replace(turn, F.lit("{n}"), n.cast("string")).alias("func"))
+
+
+def made_sql(*results: str | None) -> str:
+    """The results of made() in turn, as SQL."""
+    quote = lambda x: "replace('" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "', '{n}', CAST(doc_id AS VARCHAR))"
+    return f"CASE doc_id % {len(results)} " + " ".join(f"WHEN {i} THEN {'NULL' if r is None else quote(r)}" for i, r in enumerate(results)) + " END"
+
+
 def code(spark, sf_dir):
-    """Functions made from documents' numbers: some open, some with comments and directives."""
+    """Functions made from documents' numbers: some open, some with comments and directives, some that are none."""
     n = F.col("doc_id")
     parts = [
         F.concat(F.lit("int f"), n.cast("string"), F.lit("(int a) {")), F.when(n % 2 == 0, "\n/* note { */ // x"), F.when(n % 3 == 0, "\n#ifdef A"), F.lit("\n  if (a > 1 && a < 9) { a++; }"),
         F.when(n % 5 == 0, '\n  while (a) { a--; puts("}}"); }'), F.lit("\n  return a ? 1 : 0;"), F.when(n % 4 != 0, "\n}"),
     ]
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat(*(F.coalesce(p, F.lit("")) for p in parts)).alias("func"))
+    whole = F.concat(*(F.coalesce(p, F.lit("")) for p in parts))
+    kind = n % 11
+    text = F.when(kind == 7, F.concat(F.lit("int f"), n.cast("string"), F.lit("(void) { a(); } }"))).when(kind == 8, F.concat(F.lit("#error no\n"), whole)).when(kind == 9, "// nothing else").when(kind == 10, F.concat(F.lit("int a"), n.cast("string"), F.lit(";"))).otherwise(whole)
+    return table(spark, sf_dir, "documents").select("doc_id", text.alias("func"))
 
 
-@query("x11_complexity_and_status", "SELECT doc_id, 'ok' AS status, CAST(4 + CAST(doc_id % 5 = 0 AS INTEGER) AS INTEGER) AS cyclomatic_complexity FROM documents")
+STATUS = "CASE doc_id % 11 WHEN 7 THEN 'unbalanced' WHEN 8 THEN 'preprocessor' WHEN 9 THEN 'empty' WHEN 10 THEN 'no_function' ELSE 'ok' END"
+#: What is left of the functions of code(): of those whose conditional holds nothing, the head.
+CLEAN = """CASE WHEN doc_id % 11 >= 7 THEN NULL WHEN doc_id % 3 = 0 THEN 'int f' || doc_id || '(int a) {' || chr(10) || '}'
+    ELSE 'int f' || doc_id || '(int a) {' || chr(10) || '  if (a > 1 && a < 9) { a++; }' || CASE WHEN doc_id % 5 = 0 THEN chr(10) || '  while (a) { a--; puts("}}"); }' ELSE '' END || chr(10) || '  return a ? 1 : 0;' || chr(10) || '}' END"""
+
+
+@query("x11_complexity_and_status", f"SELECT doc_id, {STATUS} AS status, CASE WHEN doc_id % 11 < 7 THEN CAST(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 4 + CAST(doc_id % 5 = 0 AS INTEGER) END AS INTEGER) END AS cyclomatic_complexity FROM documents")
 def x11(spark, sf_dir):
     return ccode.clean(code(spark, sf_dir)).select("doc_id", "status", "cyclomatic_complexity")
 
 
-@query("g04_processing_counters", "SELECT 'ok' AS status, count(*) AS n FROM documents")
+@query("g04_processing_counters", f"SELECT {STATUS} AS status, count(*) AS n FROM documents GROUP BY 1")
 def g04(spark, sf_dir):
     return ccode.clean(code(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("f01_early_filter", "SELECT doc_id FROM documents WHERE doc_id % 2 = 0")
+@query("f01_early_filter", "SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND doc_id % 11 < 7")
 def f01(spark, sf_dir):
     got = code(spark, sf_dir).withColumn("func", F.when(F.col("doc_id") % 2 == 0, F.col("func")).otherwise("// only a comment"))
     return ccode.clean(got.filter(~ccode.looks_cpp(F.col("func")))).filter("status = 'ok'").select("doc_id")
 
 
-@query("x02_x10_clean_functions")
+@query("x02_x10_clean_functions", f"SELECT doc_id, {CLEAN} AS clean, {STATUS} AS status FROM documents")
 def x10(spark, sf_dir):
     return ccode.clean(code(spark, sf_dir)).select("doc_id", "clean", "status")
 
 
+KEPT = "int f{n}(int a) { return a; }"
+
+
+@query("x03_function_bodies", "SELECT doc_id, " + made_sql(KEPT, "static " + KEPT, None, KEPT, KEPT) + " AS body FROM documents")
+def x03(spark, sf_dir):
+    got = made(spark, sf_dir, "} ; " + KEPT, "#if K == {n}\nstatic " + KEPT, "int g{n} = 3;", KEPT, "/* x */\n" + KEPT)
+    return got.select("doc_id", ccode.applied(ccode.body, F.col("func")).alias("body"))
+
+
+@query("x04_closed_directives", "SELECT doc_id, 'int f(void) {' || chr(10) || repeat('#if A' || chr(10), doc_id % 3) || '  a();' || chr(10) || repeat('#endif' || chr(10), doc_id % 2) || '}' || repeat(chr(10) || '#endif', greatest(0, doc_id % 3 - doc_id % 2)) AS closed FROM documents")
+def x04(spark, sf_dir):
+    n = F.col("doc_id")
+    func = F.concat(F.lit("int f(void) {\n"), F.repeat(F.lit("#if A\n"), (n % 3).cast("int")), F.lit("  a();\n"), F.repeat(F.lit("#endif\n"), (n % 2).cast("int")), F.lit("}"))
+    return table(spark, sf_dir, "documents").select("doc_id", ccode.applied(ccode.with_closed_directives, func).alias("closed"))
+
+
+@query("x05_closed_braces", """SELECT doc_id, rtrim('int f(void) {' || repeat(' if (a) {', doc_id % 3) || ' puts("{}}"); /* { */ ' || repeat('}', doc_id % 2)) || repeat(chr(10) || '}', greatest(0, 1 + doc_id % 3 - doc_id % 2)) AS closed FROM documents""")
+def x05(spark, sf_dir):
+    n = F.col("doc_id")
+    func = F.concat(F.lit("int f(void) {"), F.repeat(F.lit(" if (a) {"), (n % 3).cast("int")), F.lit(' puts("{}}"); /* { */ '), F.repeat(F.lit("}"), (n % 2).cast("int")))
+    return table(spark, sf_dir, "documents").select("doc_id", ccode.applied(ccode.with_closed_braces, func).alias("closed"))
+
+
+UNTYPED = ("f{n}(int a) { return a; }", "glue(f{n}, NAME)(int *a, int b) { *a = b; }", "glue(f{n}, NAME) { a(); }", "static f{n}(void) { }")
+TYPED = ("char *f{n}(p) char *p; { return p; }", "int a{n} = 10;", "f{n}(a);")
+
+
+@query("x06_return_types", "SELECT doc_id, " + made_sql(*("int " + x for x in UNTYPED[:3]), "static int f{n}(void) { }", *TYPED) + " AS typed FROM documents")
+def x06(spark, sf_dir):
+    return made(spark, sf_dir, *UNTYPED, *TYPED).select("doc_id", ccode.applied(ccode.with_return_type, F.col("func")).alias("typed"))
+
+
+MACROS = "#define N {n}\n#define TWICE(x) ((x) + (x))\n"
+
+
+@query("x07_preprocessed", "SELECT doc_id, " + made_sql("int f(void) { return (({n}) + ({n})); }", "int g{n};", None, "int h(void) { return {n}; }") + " AS code FROM documents")
+def x07(spark, sf_dir):
+    got = made(spark, sf_dir, MACROS + "int f(void) { return TWICE(N); }", MACROS + "#if N < 0 || defined(B)\nint f;\n#elif N % 4 == 1\nint g{n};\n#else\nint h;\n#endif", "#ifdef A\nint f{n};", "#undef N\n" + MACROS + "#if 0\n#if 1\nint g;\n#endif\n#else\n\nint h(void) { return N; }\n#endif")
+    return got.select("doc_id", ccode.applied(ccode.preprocess, F.col("func")).alias("code"))
+
+
+@query("x08_format_status")
+def x08(spark, sf_dir):
+    got = made(spark, sf_dir, KEPT)
+    return got.select("doc_id", ccode.applied(lambda c: ccode.format_code(c)[1], F.col("func")).alias("status"))
+
+
+@query("x09_without_dangling_directives", "SELECT doc_id, " + made_sql("int a;\nint b{n};", "#if A\nint a{n};\n#else\nint b;\n#endif", "int a;\nint c;", "int a{n};", "int a;\n#if B\nint b{n};\n#endif\nint c;") + " AS code FROM documents")
+def x09(spark, sf_dir):
+    got = made(spark, sf_dir, "int a;\n#endif\nint b{n};", "#if A\nint a{n};\n#else\nint b;\n#endif", "int a;\n#else\nint b{n};\n#endif\nint c;", "#elif B\nint a{n};", "int a;\n#else\n#if B\nint b{n};\n#endif\nint c;\n#endif")
+    return got.select("doc_id", ccode.applied(ccode.without_dangling_directives, F.col("func")).alias("code"))
+
+
+@query("x12_is_function", "SELECT doc_id, doc_id % 5 IN (0, 3) AS is_function FROM documents")
+def x12(spark, sf_dir):
+    got = made(spark, sf_dir, KEPT, "int f{n}(int a);", "struct s{n} { int a; };", "#define A\nint *f{n}(void)\n{\n}", "int a[] = { {n} };")
+    return got.select("doc_id", ccode.applied(ccode.is_function, F.col("func"), "boolean").alias("is_function"))
+
+
 @query("x13_pre_token_counts", T + " SELECT id, CAST(len(regexp_extract_all(reasoning, '[A-Za-z0-9_]+|[^\\s\\x0BA-Za-z0-9_]')) AS INTEGER) AS tokens FROM texts")
 def x13(spark, sf_dir):
     return texts(spark, sf_dir).select("id", tokens.pre_token_count(F.col("reasoning")).alias("tokens"))
@@ -310,9 +391,3 @@ def b10(spark, sf_dir):
     rows = described(spark, sf_dir).withColumns({"func": F.concat(F.lit("int f"), F.col("id").cast("string"), F.lit("(void);")), "reasoning": F.lit("Because of the labels.")})
     done = prepare(rows, scratch(spark, "training"), least=1)
     return done.groupBy("split", "target").agg(F.count("*").alias("n"), F.min(F.length("text")).alias("shortest"))
-
-
-@query("x07_x08_formatted_code", "SELECT doc_id, true AS kept FROM documents")
-def x08(spark, sf_dir):
-    got = ccode.clean(code(spark, sf_dir), step=lambda c: ccode.format_code(c)[0])
-    return got.select("doc_id", (F.length("clean") > 0).alias("kept"))
