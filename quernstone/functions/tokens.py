@@ -13,6 +13,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+#: A public byte-level BPE vocabulary of 50,256 ranks, where it is installed.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PRE_TOKEN = r"[A-Za-z0-9_]+|[^\sA-Za-z0-9_]"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -31,7 +33,7 @@ def _encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
-def bpe_count(path: str) -> Callable[[Column], Column]:
+def bpe_count(path: str = VOCABULARY) -> Callable[[Column], Column]:
     """Counter of tokens by the ranks file at path; null text has none."""
 
     @F.pandas_udf("int")

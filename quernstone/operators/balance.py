@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from quernstone.operators.labels import frequencies
 
 
+#: Cells of the unit interval by which draws find their label.
+DRAW_CELLS = 4096
+
+
 def hashed(key: str, seed: int) -> Column:
     """A pseudo-random order that does not depend on partitioning and can be had in SQL."""
     return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
@@ -21,13 +25,28 @@ def quantile_range(df: DataFrame, tokens: str = "token_count", complexity: str =
     return joined.filter(F.col(tokens).between(F.col("__t")[0], F.col("__t")[1]) & F.col(complexity).between(F.greatest(F.lit(float(floor)), F.col("__c")[0]), F.col("__c")[1])).drop("__t", "__c")
 
 
+def rank_slice(df: DataFrame, begin: Column, n: int, by: Sequence[str], value: str, key: str) -> DataFrame:
+    """Rows of each group whose position in the order of (value, key) is begin .. begin + n - 1; a group of at most n rows whole.
+
+    begin may refer to __n, the size of the group. Only counts by value are sorted over a whole group; the rows that have
+    a value of the slice are then ranked among themselves, so that no task sorts a large group.
+    """
+    w = Window.partitionBy(*(f"__g{i}" for i in range(len(by))))
+    counts = df.groupBy(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(by)), F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    counts = counts.withColumn("__n", F.sum("__c").over(w)).withColumn("__upto", F.sum("__c").over(w.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))
+    counts = counts.withColumn("__begin", begin).filter((F.col("__n") <= n) | ((F.col("__upto") > F.col("__begin")) & (F.col("__upto") - F.col("__c") < F.col("__begin") + n)))
+    counts = counts.withColumn("__ahead", F.min(F.col("__upto") - F.col("__c")).over(w)).drop("__c", "__upto")
+    on = F.col(value).eqNullSafe(F.col("__v"))
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    rows = df.join(counts, on).withColumn("__i", F.row_number().over(w.orderBy(value, key)) - 1 + F.col("__ahead"))
+    return rows.filter((F.col("__n") <= n) | ((F.col("__i") >= F.col("__begin")) & (F.col("__i") < F.col("__begin") + n))).select(*df.columns)
+
+
 def median_centred(df: DataFrame, n: int, by: Sequence[str] = (), value: str = "token_count", key: str = "id") -> DataFrame:
     """At most n rows of each group around the middle position; a group of at most n rows is taken whole."""
-    w = Window.partitionBy(*by)
-    rows = df.withColumn("__i", F.row_number().over(w.orderBy(value, key)) - 1).withColumn("__n", F.count("*").over(w))
-    half = n // 2
-    begin = F.greatest(F.lit(0), F.least(F.floor(F.col("__n") / 2) - half, F.col("__n") - n))
-    return rows.filter((F.col("__n") <= n) | ((F.col("__i") >= begin) & (F.col("__i") < begin + n))).drop("__i", "__n")
+    begin = F.greatest(F.lit(0), F.least(F.floor(F.col("__n") / 2) - n // 2, F.col("__n") - n))
+    return rank_slice(df, begin, n, by, value, key)
 
 
 def around_median(df: DataFrame, n: int, by: Sequence[str] = (), value: str = "token_count", key: str = "id") -> DataFrame:
@@ -124,8 +143,11 @@ def oversample(df: DataFrame, ratio: float = 0.5, seed: int = 42, labels: str =
     run = Window.orderBy("label")
     weights = frequencies(df.filter(F.col(target) == 1), labels).withColumn("w", 1 / F.col("n"))
     ends = weights.withColumn("__hi", F.sum("w").over(run) / F.sum("w").over(Window.partitionBy())).withColumn("__lo", F.lag("__hi", 1, 0.0).over(run))
+    # draws find their label by an equal cell of the unit interval, and within it by its ends
+    ends = ends.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__lo") * DRAW_CELLS), F.least(F.floor(F.col("__hi") * DRAW_CELLS), F.lit(DRAW_CELLS - 1)))))
     uniform = lambda salt: F.pmod(F.xxhash64(F.col("draw"), F.lit(seed), F.lit(salt)), F.lit(1 << 52)) / float(1 << 52)
-    drawn = df.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("u", uniform(1)).join(F.broadcast(ends), (F.col("u") >= F.col("__lo")) & (F.col("u") < F.col("__hi")))
+    drawn = df.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("u", uniform(1)).withColumn("__cell", F.floor(F.col("u") * DRAW_CELLS))
+    drawn = drawn.join(ends, "__cell").filter((F.col("u") >= F.col("__lo")) & (F.col("u") < F.col("__hi")))
     drawn = drawn.select("label", (F.floor(uniform(2) * F.col("n")) + 1).alias("__i"))
     rows = df.filter(F.col(target) == 1).select(F.col(key).alias("__id"), F.explode(labels).alias("label"))
     rows = rows.withColumn("__i", F.row_number().over(Window.partitionBy("label").orderBy("__id")))
@@ -134,7 +156,19 @@ def oversample(df: DataFrame, ratio: float = 0.5, seed: int = 42, labels: str =
 
 
 def stratified_split(df: DataFrame, by: str, test: float = 0.2, seed: int = 42, key: str = "id") -> DataFrame:
-    """Adds split: of each class the first test share of rows in hashed order is test, the rest train."""
-    w = Window.partitionBy(by)
-    rows = df.withColumn("__i", F.row_number().over(w.orderBy(hashed(key, seed), key))).withColumn("__n", F.count("*").over(w))
-    return rows.withColumn("split", F.when(F.col("__i") <= F.floor(F.col("__n") * test + 0.5), "test").otherwise("train")).drop("__i", "__n")
+    """Adds split: of each class the first test share of rows in hashed order is test, the rest train.
+
+    Counts by class and beginning of the hash tell in which of 65,536 cells the cut falls; only the rows of that cell
+    are ranked, so that no task sorts a class.
+    """
+    cell = F.conv(F.substring(hashed(key, seed), 1, 4), 16, 10).cast("int")
+    w = Window.partitionBy("__g")
+    counts = df.groupBy(F.col(by).alias("__g"), cell.alias("__cell")).agg(F.count("*").alias("__c"))
+    counts = counts.withColumn("__want", F.floor(F.sum("__c").over(w) * test + 0.5)).withColumn("__upto", F.sum("__c").over(w.orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)))
+    # of each class the first cell that goes beyond what is wanted, and how many of its rows are test
+    edge = counts.filter(F.col("__upto") > F.col("__want")).groupBy("__g").agg(F.min_by(F.struct("__cell", (F.col("__want") - F.col("__upto") + F.col("__c")).alias("__rest")), "__cell").alias("__edge"))
+    rows = df.withColumn("__h", cell).join(edge, F.col(by).eqNullSafe(F.col("__g")), "left").withColumn("__e", F.col("__edge.__cell"))
+    near = rows.filter(F.col("__h") == F.col("__e")).withColumn("__i", F.row_number().over(Window.partitionBy(by).orderBy(hashed(key, seed), key)))
+    near = near.withColumn("split", F.when(F.col("__i") <= F.col("__edge.__rest"), "test").otherwise("train")).select(*df.columns, "split")
+    far = rows.filter(F.col("__e").isNull() | (F.col("__h") != F.col("__e"))).withColumn("split", F.when(F.col("__e").isNull() | (F.col("__h") < F.col("__e")), "test").otherwise("train"))
+    return far.select(*df.columns, "split").unionByName(near)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
@@ -9,7 +10,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import CountVectorizer, RegexTokenizer, StringIndexer
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quernstone.operators.balance import stratified_split
 
@@ -32,7 +33,7 @@ def encode_labels(df: DataFrame, labels: str = "label") -> DataFrame:
     return StringIndexer(inputCol=labels, outputCol="label_index", stringOrderType="alphabetAsc").fit(df).transform(df)
 
 
-def forest(text: str, target: str, trees: int = 50, depth: int = 8, vocabulary: int = 1 << 14, seed: int = 42) -> Pipeline:
+def forest(text: str, target: str, trees: int = 50, depth: int = 8, vocabulary: int = 1 << 18, seed: int = 42) -> Pipeline:
     return Pipeline(stages=[
         RegexTokenizer(inputCol=text, outputCol="__words", pattern=WORD, gaps=False, toLowercase=True), CountVectorizer(inputCol="__words", outputCol="__features", minDF=1, vocabSize=vocabulary),
         RandomForestClassifier(featuresCol="__features", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed),
@@ -46,9 +47,18 @@ def evaluate(df: DataFrame, text: str, target: str, key: str, test: float = 0.2,
     return model.transform(split.filter("split = 'test'")).select(key, target, F.col("prediction").cast("int").alias("prediction"))
 
 
-def search(df: DataFrame, text: str, target: str, trees: Sequence[int] = (50, 200, 500), depths: Sequence[int] = (5, 10, 20), folds: int = 5, seed: int = 42):
-    """Cross-validated model over a grid; folds are at most the rows of the smallest class."""
+def search(df: DataFrame, text: str, target: str, trees: Sequence[int] = tuple(range(50, 501, 50)), depths: Sequence[int] = tuple(range(1, 21)), tries: int = 10, folds: int = 5, seed: int = 42):
+    """Cross-validated model over `tries` settings drawn at random from trees x depths; folds are at most the rows of the smallest class."""
     least = df.groupBy(target).count().agg(F.min("count").alias("n")).first().n
     pipeline = forest(text, target, seed=seed)
-    grid = ParamGridBuilder().addGrid(pipeline.getStages()[-1].numTrees, list(trees)).addGrid(pipeline.getStages()[-1].maxDepth, list(depths)).build()
+    last = pipeline.getStages()[-1]
+    every = [{last.numTrees: t, last.maxDepth: d} for t in trees for d in depths]
+    grid = random.Random(seed).sample(every, min(tries, len(every)))
     return CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol=target, metricName="f1"), numFolds=max(2, min(folds, least)), seed=seed).fit(df)
+
+
+def search_table(fitted) -> DataFrame:
+    """(trees, depth, f1) of each setting that search() tried."""
+    last = fitted.getEstimator().getStages()[-1]
+    rows = [(m[last.numTrees], m[last.maxDepth], float(s)) for m, s in zip(fitted.getEstimatorParamMaps(), fitted.avgMetrics)]
+    return SparkSession.active().createDataFrame(rows, "trees int, depth int, f1 double")

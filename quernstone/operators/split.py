@@ -39,20 +39,24 @@ def rare_labels(counts: DataFrame, least: int, train_size: float) -> DataFrame:
 def assign_groups(df: DataFrame, test: float = 0.1, val: float = 0.1, least: int = 30, seed: int = 42, group: str = "project", target: str = "target", labels: str = "cwe") -> DataFrame:
     """(project, split). Sole sources of a label train; then, for labels at risk, their largest groups until least is reached; the rest, in hashed order, goes where test or val needs most.
 
-    The greedy walk runs on the driver over one row for each group and each (group, label), whose number does not
-    grow with the rows of df.
+    The driver holds one row for each group. Labels come to it only where they decide something: those of a single
+    group, and those at risk, of which at most least groups beside the largest have any.
     """
-    size = {r[group]: (r.vulnerable, r.clean) for r in profiles(df, group, target, labels).select(group, "vulnerable", "clean").collect()}
+    size = {r[group]: (r.vulnerable, r.clean) for r in df.groupBy(group).agg(F.count_if(F.col(target) == 1).alias("vulnerable"), F.count_if(F.col(target) != 1).alias("clean")).collect()}
+    counts = group_labels(df, group, target, labels)
+    risky = counts.groupBy("label").agg(F.count("*").alias("__k"), (F.sum("n") - F.max("n")).alias("__g")).filter((F.col("__k") == 1) | (F.col("__g") < least))
     own: dict[str, dict[str, int]] = {}
-    for r in group_labels(df, group, target, labels).collect():
+    of: dict[str, dict[str, int]] = {}
+    for r in counts.join(risky, "label").collect():
         own.setdefault(r.label, {})[r[group]] = r.n
+        of.setdefault(r[group], {})[r.label] = r.n
     train: set[str] = set()
     have: dict[str, int] = {}
 
     def take(name: str) -> None:
         train.add(name)
-        for label, groups in own.items():
-            have[label] = have.get(label, 0) + groups.get(name, 0)
+        for label, n in of.get(name, {}).items():
+            have[label] = have.get(label, 0) + n
 
     for label in sorted(own):
         if len(own[label]) == 1 and (name := next(iter(own[label]))) not in train:
@@ -79,8 +83,8 @@ def assign_groups(df: DataFrame, test: float = 0.1, val: float = 0.1, least: int
 
 
 def split_rows(df: DataFrame, assignment: DataFrame, group: str = "project") -> DataFrame:
-    """df with the split of its group."""
-    return df.join(F.broadcast(assignment), group)
+    """df with the split of its group. Whether the assignment is broadcast is left to its size."""
+    return df.join(assignment, group)
 
 
 def coverage(df: DataFrame, labels: str = "cwe", split: str = "split", splits: Sequence[str] = SPLITS, least: int = 0) -> DataFrame:

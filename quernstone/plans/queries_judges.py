@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quernstone.operators import evaluate, jury, stats
+from quernstone.operators import diagnostics, evaluate, jury, stats
 from quernstone.plans.registry import query
 from quernstone.plans.standins import EDGES, HIERARCHY, JUDGEMENTS, PREDICTIONS, SAMPLES, judgements, predictions, samples
 from quernstone.session import table
@@ -295,6 +295,25 @@ def j06(spark, sf_dir):
     return d.select("id").join(known, F.col("id") == F.col("__case"), "left").select("id", F.coalesce("category", F.lit("unknown")).alias("category"))
 
 
+def stand_in(code: str) -> str:
+    """A model for the built-in suite that goes by a few words; it fails where code looks something up."""
+    if "find(" in code:
+        raise ValueError("out of memory")
+    found = [415] if code.count("free(") > 1 else [120] if "cpy(" in code or "gets(" in code else [119] if "slots" in code else [401] if "malloc" in code and ("for (;;)" in code or "while" in code) else []
+    listed = ", ".join(f'{{"cwe_id": {n}, "description": "d"}}' for n in found)
+    return f'{{"reasoning": "r", "vulnerabilities": [{listed}], "verdict": {{"is_vulnerable": {str(bool(found)).lower()}, "cwe_list": {found}}}}}'
+
+
+SUITE = {
+    "OVER-GEN": "a01", "FN": "a02 b01 b02 c03 d01 d02 e01 e02 f01 h01 h02", "EXACT": "a03 c01 c02 e03 e05 e06", "CORRECT": "d03 e04 g02 g03", "FP": "g01", "ERROR": "f02",
+}
+
+
+@query("e06_builtin_suite", "SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{status}')" for status, ids in SUITE.items() for i in ids.split()) + ") AS v(id, status)")
+def e06(spark, sf_dir):
+    return diagnostics.diagnosed(diagnostics.cases(spark), stand_in).select("id", "status")
+
+
 @query("f22_category_filter", DIAG + " SELECT id FROM z WHERE category IN ('cat0', 'cat2')")
 def f22(spark, sf_dir):
     return diagnosed(spark, sf_dir).filter(F.col("category").isin("cat0", "cat2")).select("id")

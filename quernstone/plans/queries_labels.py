@@ -67,6 +67,21 @@ def j01_map(spark, sf_dir):
     return labels.enrich_by_map(samples(spark, sf_dir), table).select("id", F.array_join("cwe_desc", "|").alias("descriptions"))
 
 
+@query("g08_label_summary", S + """, c AS (SELECT label, count(*) AS n FROM (SELECT unnest(cwe) AS label FROM samples WHERE target = 1) GROUP BY label), t AS (SELECT n, sum(n) OVER (ORDER BY n, label ROWS UNBOUNDED PRECEDING) AS cum, sum(n) OVER () AS total FROM c)
+    SELECT count(*) AS labels, CAST(max(total) AS BIGINT) AS total, round((count(*) + 1 - 2 * sum(cum / total)) / count(*), 6) AS gini, round(-sum(n / total * log2(n / total)), 6) AS entropy, max(n) AS most, min(n) AS least FROM t""")
+def g08(spark, sf_dir):
+    counts = labels.frequencies(samples(spark, sf_dir).filter("target = 1"))
+    return stats.inequality(counts).crossJoin(counts.agg(F.max("n").alias("most"), F.min("n").alias("least")))
+
+
+@query("w09_top_lists", S + """, c AS (SELECT label, count(*) AS n FROM (SELECT unnest(cwe) AS label FROM samples) GROUP BY label), r AS (SELECT label, n, row_number() OVER (ORDER BY n DESC, label) AS i, row_number() OVER (ORDER BY n, label) AS j FROM c)
+    SELECT k, label, n, 'top' AS "end" FROM r, (VALUES (5), (10), (30)) AS v(k) WHERE i <= k UNION ALL SELECT k, label, n, 'bottom' FROM r, (VALUES (5), (10), (30)) AS v(k) WHERE j <= k""")
+def w09(spark, sf_dir):
+    counts = labels.frequencies(samples(spark, sf_dir))
+    parts = [stats.bottom_top(counts, k).withColumn("k", F.lit(k)) for k in (5, 10, 30)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("j03_label_status_lookup", S + ", " + DICTIONARY + " SELECT id, label, coalesce(status, 'unknown') AS status FROM (SELECT id, unnest(cwe) AS label FROM samples) s LEFT JOIN (SELECT id AS k, status FROM dictionary) d ON replace(label, 'CWE-', '') = k")
 def j03(spark, sf_dir):
     return labels.with_status(samples(spark, sf_dir), dictionary(spark, sf_dir)).select(F.col("row").alias("id"), "label", "status")

@@ -119,6 +119,11 @@ def x10(spark, sf_dir):
     return ccode.clean(code(spark, sf_dir)).select("doc_id", "clean", "status")
 
 
+@query("e01_step_callback", f"SELECT doc_id, upper({CLEAN}) AS clean FROM documents WHERE doc_id % 11 < 7")
+def e01(spark, sf_dir):
+    return ccode.clean(code(spark, sf_dir), step=str.upper).filter("status = 'ok'").select("doc_id", "clean")
+
+
 KEPT = "int f{n}(int a) { return a; }"
 
 
@@ -183,6 +188,17 @@ def x13(spark, sf_dir):
     return texts(spark, sf_dir).select("id", tokens.pre_token_count(F.col("reasoning")).alias("tokens"))
 
 
+@query("x13_bpe_counts")
+def x13_bpe(spark, sf_dir):
+    return texts(spark, sf_dir).select("id", tokens.bpe_count()(F.col("reasoning")).alias("tokens"))
+
+
+@query("x14_component_bpe_counts")
+def x14(spark, sf_dir):
+    c = tokens.component_counts(F.lit("Check this:"), F.concat(F.lit(" "), "reasoning"), F.lit(" Done."), tokens.bpe_count())
+    return texts(spark, sf_dir).select("id", c.alias("c")).select("id", "c.*")
+
+
 @query("x15_component_counts", T + " SELECT id, CAST(len(regexp_extract_all(reasoning, '[A-Za-z0-9_]+|[^\\s\\x0BA-Za-z0-9_]')) AS INTEGER) AS \"user\", 3 AS system, 2 AS assistant FROM texts")
 def x15(spark, sf_dir):
     c = tokens.component_counts(F.lit("Check this: "), F.concat("reasoning", F.lit(" ")), F.lit("Done."))

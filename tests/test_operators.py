@@ -1,14 +1,17 @@
 """Small cases with known results, and properties."""
 
+import hashlib
+import os
 import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from quernstone.functions import prompts, responses, scalars, tokens
-from quernstone.operators import balance, evaluate, filters, jury, labels, split, stats
-from quernstone.sources import readers, writers
+from quernstone.functions import ccode, prompts, responses, scalars, tokens
+from quernstone.operators import balance, baseline_ml, diagnostics, evaluate, filters, jury, labels, split, stats
+from quernstone.plans import training
+from quernstone.sources import guards, readers, writers
 from quernstone.streaming import incremental
 
 SLOW = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -266,3 +269,151 @@ def test_formatter_falls_back():
     from quernstone.functions import ccode
 
     assert ccode.format_code("int a;")[0].strip() == "int a;"
+
+
+def test_rank_slices_of_ties_nulls_and_groups(spark):
+    """Selections around the middle against sorting each group, with tied and null values and null groups."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, 1, 2, 2, 3, 9])) for i in range(120)] + [(500, "c", 4)]
+    df = spark.createDataFrame(rows, "id long, g string, token_count int")
+    for n in (1, 4, 7, 500):
+        want = []
+        for g in ("a", "b", "c", None):
+            order = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+            begin = max(0, min(len(order) // 2 - n // 2, len(order) - n))
+            want += [r[0] for r in (order if len(order) <= n else order[begin : begin + n])]
+        got = balance.median_centred(df, n, ("g",))
+        assert got.columns == df.columns and sorted(r.id for r in got.collect()) == sorted(want)
+
+
+def test_stratified_split_takes_the_first_hashes(spark):
+    rows = [(i, i % 3 if i % 7 else None) for i in range(400)] + [(1000, 9)]
+    df = spark.createDataFrame(rows, "id long, target int")
+    for share in (0.0, 0.2, 0.5, 1.0):
+        want = set()
+        for c in (0, 1, 2, 9, None):
+            own = sorted((r[0] for r in rows if r[1] == c), key=lambda i: (hashlib.md5(f"{i}:42".encode()).hexdigest(), i))
+            want |= set(own[: int(len(own) * share + 0.5)])
+        got = balance.stratified_split(df, "target", share).collect()
+        assert len(got) == len(rows) and {r.id for r in got if r.split == "test"} == want
+
+
+def test_group_assignment_by_plain_rules(spark):
+    """Splits of groups against the rules carried out one after the other on plain lists."""
+    rng = random.Random(8)
+    rows = [(i, f"p{rng.randrange(30)}", rng.randrange(2), [f"C{int(rng.random() ** 2 * 12)}" for _ in range(rng.randrange(3))]) for i in range(900)] + [(2000, "sole", 1, ["only"])]
+    df = spark.createDataFrame(rows, "id long, project string, target int, cwe array<string>")
+    for least in (1, 8, 40):
+        n = {}
+        for _, p, t, labels_ in rows:
+            for x in labels_ if t == 1 else []:
+                n[x, p] = n.get((x, p), 0) + 1
+        names = sorted({x for x, _ in n})
+        by = {x: {p: k for (y, p), k in n.items() if y == x} for x in names}
+        train = {next(iter(g)) for g in by.values() if len(g) == 1}
+        spare = {x: sum(g.values()) - max(g.values()) for x, g in by.items()}
+        for x in sorted((x for x in names if len(by[x]) > 1 and spare[x] < least), key=lambda x: (spare[x], x)):
+            for p in sorted(by[x], key=lambda p: (-by[x][p], p)):
+                if sum(k for q, k in by[x].items() if q in train) >= least:
+                    break
+                train.add(p)
+        size = {p: [sum(q == p and t == 1 for _, q, t, _ in rows), sum(q == p and t != 1 for _, q, t, _ in rows)] for p in {r[1] for r in rows}}
+        aim = [int(sum(s[i] for s in size.values()) * 0.1) for i in (0, 1)]
+        got, want = {"test": [0, 0], "val": [0, 0]}, {p: "train" for p in train}
+        for p in sorted(set(size) - train, key=lambda p: hashlib.md5(f"{p}:42".encode()).hexdigest()):
+            need = {s: sum(max(0, a - g) for a, g in zip(aim, got[s])) for s in got}
+            full = {s: all(g >= a * 1.2 for a, g in zip(aim, got[s])) for s in got}
+            if (full["test"] and full["val"]) or not (need["test"] or need["val"]):
+                want[p] = "train"
+            else:
+                want[p] = "val" if full["test"] or (not full["val"] and need["val"] > need["test"]) else "test"
+                got[want[p]] = [g + s for g, s in zip(got[want[p]], size[p])]
+        assert {r.project: r.split for r in split.assign_groups(df, least=least).collect()} == want
+
+
+def test_training_pipeline_by_plain_rules(spark, tmp_path):
+    """Stages kept on disk: groups keep to their split, train is balanced by repeats alone, texts are complete, and a second run reads what is there."""
+    rng = random.Random(4)
+    rows = [(i, f"p{rng.randrange(20)}", int(i % 4 == 0), [f"CWE-{rng.randrange(3)}"] if i % 4 == 0 else [], ["words"] if i % 4 == 0 else [], f"int f{i};", "why") for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, project string, target int, cwe array<string>, cwe_desc array<string>, func string, reasoning string")
+    got = training.prepare(df, str(tmp_path / "t"), least=1).collect()
+    where = {r.project: r.split for r in split.assign_groups(df, least=1).collect()}
+    assert all(r.split == where[r.project] for r in got)
+    plain = {r[0]: r for r in rows}
+    for name in ("val", "test"):
+        assert sorted(r.id for r in got if r.split == name) == sorted(i for i, r in plain.items() if where[r[1]] == name)
+    train = [r for r in got if r.split == "train"]
+    assert {r.id for r in train} == {i for i, r in plain.items() if where[r[1]] == "train"}
+    safe = [r.id for r in train if r.target == 0]
+    assert len(safe) == len(set(safe)) == sum(r.target == 1 for r in train)
+    assert all(f"int f{r.id};" in r.text and ("CWE-" in r.text or "words" in r.text) == (r.target == 1) for r in got)
+    assert sorted(map(repr, training.prepare(df.limit(0), str(tmp_path / "t"), least=1).collect())) == sorted(map(repr, got))
+
+
+def test_search_tries_settings_at_random(spark):
+    rows = [(i, ("good word " if i % 2 else "bad thing ") * 3 + f"x{i}", i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string, y int")
+    fitted = baseline_ml.search(df, "text", "y", trees=(2, 3, 4), depths=(1, 2, 3), tries=3, folds=2)
+    got = baseline_ml.search_table(fitted).collect()
+    assert len({(r.trees, r.depth) for r in got}) == 3 and all(r.trees in (2, 3, 4) and r.depth in (1, 2, 3) and 0 <= r.f1 <= 1 for r in got)
+    assert max(r.f1 for r in got) > 0.8
+
+
+def test_bpe_counts(spark):
+    """Counts of the vocabulary at hand: hello world has two tokens in it too; null and empty texts have none."""
+    if not os.path.exists(tokens.VOCABULARY):
+        pytest.skip("no vocabulary here")
+    cases = ["hello world", "int main() { return 0; }", "", None, "a  b\n\n c", "naïve 中文"]
+    encoder = tokens._encoder(tokens.VOCABULARY)
+    df = spark.createDataFrame(list(enumerate(cases)), "id int, t string")
+    got = {r.id: r.n for r in df.select("id", tokens.bpe_count()(F.col("t")).alias("n")).collect()}
+    assert got == {i: len(encoder.encode_ordinary(x or "")) for i, x in enumerate(cases)} and got[0] == 2 and got[2] == got[3] == 0
+    c = df.filter("t IS NOT NULL").select("t", tokens.component_counts(F.lit("Sys"), F.col("t"), F.lit(" end"), tokens.bpe_count()).alias("c")).collect()
+    for r in c:
+        one, two, three = (len(encoder.encode_ordinary(x)) for x in ("Sys", "Sys" + r.t, "Sys" + r.t + " end"))
+        assert tuple(r.c) == (one, two - one, three - two, three)
+
+
+def test_builtin_suite(spark):
+    assert len(diagnostics.CASES) == 24 and len({c[0] for c in diagnostics.CASES}) == 24 and len({c[1] for c in diagnostics.CASES}) == 8
+    assert all(ccode.process(c[5])[1] == "ok" for c in diagnostics.CASES)
+    assert diagnostics.cases(spark, ["null_access"]).count() == 2
+    df = spark.createDataFrame([("n", "c", "low", [1], [2], None), ("t", "c", "low", [], [], "x")], diagnostics.DDL)
+    got = {r.id: (r.status, r.error) for r in diagnostics.diagnosed(df, lambda code: "no JSON").collect()}
+    assert got == {"n": ("ERROR", "no code"), "t": ("ERROR", "no verdict")}
+
+
+def test_guards(tmp_path):
+    @guards.suffix("out", "json", ".jsonl")
+    @guards.path("folder", exists=True, kind="folder")
+    def write(folder, out="a.json"):
+        return f"{folder}/{out}"
+
+    assert write(tmp_path) == f"{tmp_path}/a.json" and write(tmp_path, out="b.JSONL").endswith("b.JSONL")
+    for wrong, kind in ((dict(folder=tmp_path, out="a.csv"), guards.WrongSuffix), (dict(folder=tmp_path / "x"), FileNotFoundError), (dict(folder=3), TypeError)):
+        with pytest.raises(kind):
+            write(**wrong)
+    (tmp_path / "f").write_text("")
+    with pytest.raises(ValueError):
+        write(tmp_path / "f")
+    made = guards.path("p", create=True)(lambda p: p)(tmp_path / "new" / "er")
+    assert made.is_dir()
+    waits, calls = [], []
+
+    @guards.retry(3, wait=1, factor=2, on=(KeyError,), sleep=waits.append)
+    def sometimes(n):
+        calls.append(n)
+        if len(calls) < n:
+            raise KeyError(n)
+        return n
+
+    assert sometimes(3) == 3 and waits == [1, 2]
+    calls.clear()
+    with pytest.raises(KeyError):
+        sometimes(9)
+    assert len(calls) == 3
+
+
+def test_refusing_to_write_nothing(spark, tmp_path):
+    with pytest.raises(ValueError):
+        writers.jsonl(spark.createDataFrame([], "a int"), str(tmp_path / "x"), refuse_empty=True)
