@@ -6,13 +6,12 @@ one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quernstone.llm import decontaminate, langkernel, packing, simhash, suffixdedup
-from quernstone.session import table
+from quernstone.session import shared_folder, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +52,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STAGES applied to documents; the stages' tables go below the shared folder in spark.checkpoint.dir (a temporary one where that is unset)."""
-    shared = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="corpus-pipeline-")
+    """STAGES applied to documents; the stages' tables go below the folder that all executors share (session.shared_folder)."""
+    shared = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         at = f"{shared}/pipeline-{uuid.uuid4().hex}/{name}"
