@@ -1,7 +1,8 @@
 """Exact removal of repeated passages by a distributed sort of suffixes.
 
-A word window of LENGTH words that occurs at two places is a repeat; passages are unions of such windows, and the
-occurrence with the least (doc_id, word) stays.
+Words are what stands between white space; case and punctuation are passed over. A window of LENGTH words that occurs
+in two documents is a repeat; passages are unions of such windows, and the document with the least doc_id keeps it, as
+often as it has it: repetition within a document is left to other filters.
 
 1. Sampling. In every window the GRAM-word gram with the least hash is its anchor (the rightmost of ties). Equal
    windows have equal anchors, so a repeat is found at its anchors, of which there is about one in 13 words, and no
@@ -9,7 +10,8 @@ occurrence with the least (doc_id, word) stays.
 2. Runs. Each task sorts the suffixes that begin at its remaining anchors, the gram counting as the first letter and
    the words after it as the others, and cuts the sorted run at fixed ranges of that first letter. Suffixes are cut
    off where no window through the anchor reaches. Of suffixes of a run with equal words on both sides only the first
-   goes on; the others are repeats of it, so that a passage that many documents share is exchanged once a run.
+   goes on, with the places at which its document has it again; those of other documents are repeats of it, so that a
+   passage that many documents share is exchanged once a run.
 3. Exchange. Pieces of runs are front-coded: a suffix carries the length of the prefix it shares with its predecessor
    and only the words after it. The words before the anchor go along as payload.
 4. Merge. A range's pieces are merged by a loser tree whose nodes hold common prefix lengths with the last winner:
@@ -67,7 +69,7 @@ def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for got in batches:
         column, keys = textscan.strings(got["text"]), combined(got["row"]).to_numpy()
         for a, b in textscan.pieces(column):
-            words = textscan.scan(column.slice(a, b - a))
+            words = textscan.scan(column.slice(a, b - a), spaced=True)
             gram, _, place = anchors(words)
             if not len(place):
                 continue
@@ -93,8 +95,8 @@ def grid(flat: np.ndarray, size: np.ndarray, skip: np.ndarray | int = 0) -> np.n
     return out
 
 
-def encode(gram, right, right_size, left_flat, left_size, ids, keys, place) -> bytes:
-    """A sorted piece of a run, front-coded. right is a grid; all else by suffix."""
+def encode(gram, right, right_size, left_flat, left_size, ids, keys, times, place) -> bytes:
+    """A sorted piece of a run, front-coded. right is a grid; place has, one after the other, the places of each suffix, times their numbers; all else by suffix."""
     same = np.zeros(len(gram), np.int64)
     if len(gram) > 1:
         equal = (right[1:] == right[:-1]) & (right[1:] != 0)
@@ -102,12 +104,12 @@ def encode(gram, right, right_size, left_flat, left_size, ids, keys, place) -> b
     drop = np.maximum(same - 1, 0)
     keep = np.arange(CONTEXT)[None, :]
     flat = right[(keep >= drop[:, None]) & (keep < right_size[:, None])]
-    parts = [np.array([len(gram)], np.int64), gram[same == 0], ids, keys, place.astype(np.int32), same.astype(np.uint8), right_size.astype(np.uint8), left_size.astype(np.uint8), flat, left_flat]
+    parts = [np.array([len(gram)], np.int64), gram[same == 0], ids, keys, times.astype(np.int32), place.astype(np.int32), same.astype(np.uint8), right_size.astype(np.uint8), left_size.astype(np.uint8), flat, left_flat]
     return b"".join(p.tobytes() for p in parts)
 
 
 def decode(data: bytes) -> tuple[np.ndarray, ...]:
-    """(gram, right grid, right sizes, left grid, left sizes, ids, row keys, places, shared prefix lengths) of a piece."""
+    """(gram, right grid, right sizes, left grid, left sizes, ids, row keys, numbers of places, shared prefix lengths, places) of a piece."""
     n = int(np.frombuffer(data, np.int64, 1)[0])
     at = 8
 
@@ -118,7 +120,8 @@ def decode(data: bytes) -> tuple[np.ndarray, ...]:
         return got
 
     heads = int.from_bytes(data[-8:], "little")  # suffixes with a first letter of their own
-    gram_heads, ids, keys, place = take(np.uint64, heads), take(np.int64, n), take(np.int64, n), take(np.int32, n)
+    gram_heads, ids, keys, times = take(np.uint64, heads), take(np.int64, n), take(np.int64, n), take(np.int32, n).astype(np.int64)
+    place = take(np.int32, int(times.sum()))
     same, right_size, left_size = take(np.uint8, n).astype(np.int64), take(np.uint8, n).astype(np.int64), take(np.uint8, n).astype(np.int64)
     gram = gram_heads[np.cumsum(same == 0) - 1]
     drop = np.maximum(same - 1, 0)
@@ -127,7 +130,7 @@ def decode(data: bytes) -> tuple[np.ndarray, ...]:
     for c in range(int(drop.max(initial=0))):
         right[:, c] = right[np.maximum.accumulate(np.where(drop <= c, row, 0)), c]
     left = grid(take(np.uint32, int(left_size.sum())), left_size)
-    return gram, right, right_size, left, left_size, ids, keys, place, same
+    return gram, right, right_size, left, left_size, ids, keys, times, same, place
 
 
 PIECE = pa.schema([("range", pa.int32()), ("piece", pa.binary())])
@@ -164,21 +167,28 @@ def make_runs(ranges: int, most: int, batches: Iterator[pa.RecordBatch]) -> Iter
             mine = order[at]
             order[at] = mine[np.lexsort((place[mine], keys[mine], ids[mine], *left[mine].T[::-1], *right[mine].T[::-1], gram[mine]))]
         gram, right, right_size, left, left_size, ids, keys, place = (x[order] for x in (gram, right, right_size, left, left_size, ids, keys, place))
-        # of suffixes whose whole context is the same, the first stands for all: the others are repeats of it already
+        # of suffixes whose whole context is the same, the first stands for all: those of other documents are repeats of it already
         same = np.zeros(len(gram), np.bool_)
         near = np.flatnonzero(gram[1:] == gram[:-1]) + 1
         same[near] = (right_size[near] == right_size[near - 1]) & (left_size[near] == left_size[near - 1]) & (right[near] == right[near - 1]).all(1) & (left[near] == left[near - 1]).all(1)
         head = np.flatnonzero(~same)[np.cumsum(~same) - 1]
-        gone = np.flatnonzero(same & ((ids != ids[head]) | (keys != keys[head]) | (place != place[head])))
+        other = same & ((ids != ids[head]) | (keys != keys[head]))
+        gone = np.flatnonzero(other)
         local = pack_spans(ids[gone], keys[gone], place[gone] - left_size[gone], place[gone] + GRAM + right_size[gone], ids[head[gone]]) if len(gone) else None
-        gram, right, right_size, left, left_size, ids, keys, place = (x[~same] for x in (gram, right, right_size, left, left_size, ids, keys, place))
+        # the first's document comes first among its equals, so what is left of them are its places in order
+        stays = np.flatnonzero(~other)
+        stays = stays[np.append(True, (head[stays][1:] != head[stays][:-1]) | (place[stays][1:] != place[stays][:-1]))] if len(stays) else stays
+        ends = np.append(np.flatnonzero(~same[stays])[1:], len(stays))
+        times, places = np.diff(np.append(0, ends)), place[stays]
+        gram, right, right_size, left, left_size, ids, keys = (x[~same] for x in (gram, right, right_size, left, left_size, ids, keys))
+        upto = np.append(0, ends)
         part = (gram >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
         cuts = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64))
         names, blobs = ([], []) if local is None else ([LOCAL], [local])
         column = np.arange(CONTEXT)[None, :]
         for r in np.flatnonzero(np.diff(cuts)):
             s = slice(cuts[r], cuts[r + 1])
-            body = encode(gram[s], right[s], right_size[s], left[s][column < left_size[s][:, None]], left_size[s], ids[s], keys[s], place[s])
+            body = encode(gram[s], right[s], right_size[s], left[s][column < left_size[s][:, None]], left_size[s], ids[s], keys[s], times[s], places[upto[cuts[r]] : upto[cuts[r + 1]]])
             heads = int((np.append(True, gram[s][1:] != gram[s][:-1])).sum())
             names.append(r)
             blobs.append(body + heads.to_bytes(8, "little"))
@@ -188,7 +198,7 @@ def make_runs(ranges: int, most: int, batches: Iterator[pa.RecordBatch]) -> Iter
     for got in batches:
         column, ids, keys, lists = textscan.strings(got["text"]), combined(got["doc_id"]).to_numpy(), combined(got["row"]).to_numpy(), combined(got["words"])
         for a, b in textscan.pieces(column):
-            words = textscan.scan(column.slice(a, b - a))
+            words = textscan.scan(column.slice(a, b - a), spaced=True)
             gram, begin, place = anchors(words)
             if not len(place):
                 continue
@@ -301,11 +311,11 @@ def merge(runs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.nda
     return np.array(order_run, np.int64), np.array(order_at, np.int64), np.array(order_shared, np.int64)
 
 
-def repeats(gram_new: np.ndarray, right, right_size, left, left_size, ids, keys, place) -> pa.RecordBatch:
-    """Windows of a merged suffix array that occur before; gram_new marks where the first letter changes."""
-    rank = np.lexsort((place, keys, ids))
+def repeats(gram_new: np.ndarray, right, right_size, left, left_size, ids, keys, times, first_place, place) -> pa.RecordBatch:
+    """Windows of a merged suffix array that occur in an earlier document; gram_new marks where the first letter changes. A suffix has times places in place, from first_place on."""
+    rank = np.lexsort((keys, ids))
     group = np.cumsum(gram_new)[rank].astype(np.uint64)
-    right, right_size, left, left_size, ids, keys, place = (x[rank] for x in (right, right_size, left, left_size, ids, keys, place))
+    right, right_size, left, left_size, ids, keys, times, first_place = (x[rank] for x in (right, right_size, left, left_size, ids, keys, times, first_place))
     n = len(ids)
     factor = np.uint64(textscan.BASE)
     before, after = np.zeros((n, SPAN), np.uint64), np.zeros((n, SPAN), np.uint64)
@@ -322,13 +332,17 @@ def repeats(gram_new: np.ndarray, right, right_size, left, left_size, ids, keys,
     k, row, column = k[order], row[order], column[order]
     head = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, np.bool_)
     of = row[np.flatnonzero(head)][np.cumsum(head) - 1] if len(k) else row
-    repeat = ~head & ((ids[row] != ids[of]) | (keys[row] != keys[of]) | (place[row] != place[of]))
+    repeat = ~head & ((ids[row] != ids[of]) | (keys[row] != keys[of]))
     row, column, of = row[repeat], column[repeat], of[repeat]
-    order = np.lexsort((-column, row))
-    row, column, first = row[order], column[order], ids[of[order]]
     if not len(row):
         return batch(SPAN_ROW, *(np.zeros(0, np.int64) for _ in range(5)))
-    start = place[row].astype(np.int64) - column
+    # a suffix's windows at each of its places
+    each = times[row]
+    where = ragged(place, first_place[row], each).astype(np.int64)
+    row, column, of = np.repeat(row, each), np.repeat(column, each), np.repeat(of, each)
+    order = np.lexsort((-column, where, row))
+    row, column, where, first = row[order], column[order], where[order], ids[of[order]]
+    start = where - column
     new = np.append(True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1) | (first[1:] != first[:-1]))
     last = np.append(np.flatnonzero(new)[1:] - 1, len(row) - 1)
     return batch(SPAN_ROW, ids[row[new]], keys[row[new]], start[new].astype(np.int32), (start[last] + LENGTH).astype(np.int32), first[new])
@@ -341,6 +355,8 @@ def merge_range(table: pa.Table) -> pa.Table:
     base = np.concatenate(([0], np.cumsum([len(r[0]) for r in runs])[:-1]))
     order = base[run] + at
     columns = [np.concatenate([r[i] for r in runs]) for i in (1, 2, 3, 4, 5, 6, 7)]
+    columns.append(np.cumsum(columns[-1]) - columns[-1])
+    place = np.concatenate([r[9] for r in runs])
     del runs
     new = shared == 0
     # blocks of whole grams, so that the windows of only some suffixes are spread out at a time
@@ -348,7 +364,7 @@ def merge_range(table: pa.Table) -> pa.Table:
     found, at = [], 0
     while at < len(order):
         to = int(heads[max(np.searchsorted(heads, at + BLOCK, "right") - 1, np.searchsorted(heads, at, "right"))])
-        found.append(repeats(new[at:to], *(c[order[at:to]] for c in columns)))
+        found.append(repeats(new[at:to], *(c[order[at:to]] for c in columns), place))
         at = to
     return pa.Table.from_batches(found, schema=SPAN_ROW)
 
@@ -379,8 +395,9 @@ def keyed_spans(docs: DataFrame, run_rows: int = RUN_ROWS, range_rows: int = RAN
 def spans(docs: DataFrame, run_rows: int = RUN_ROWS, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(doc_id, start, stop, words, first_doc_ids): passages, as ranges of word numbers, that repeat an earlier one.
 
-    Every window of LENGTH words that occurs at an earlier (doc_id, word) is covered; first_doc_ids lists
-    documents that hold an earlier occurrence (the first of the run or of all). Repeats within a document count. Null or empty texts and texts of less
+    Every window of LENGTH words whose first occurrence, by doc_id, is in another document is covered; first_doc_ids
+    lists documents that hold an earlier occurrence (the first of the run or of all). What a document repeats of itself
+    alone does not count. Words stand between white space and are compared without case and punctuation. Null or empty texts and texts of less
     than LENGTH words have none; rows with a null doc_id are left out; rows that agree in doc_id and text count once;
     rows of one doc_id with different texts are documents of their own, told apart by a hash, each with its own
     passages. An empty table gives an empty result. Texts are used whole. Columns other than doc_id and text are not
@@ -389,12 +406,12 @@ def spans(docs: DataFrame, run_rows: int = RUN_ROWS, range_rows: int = RANGE_ROW
     return keyed_spans(docs, run_rows, range_rows).drop("row")
 
 
-def strip(column: pa.Array, lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Texts without the word ranges listed (structs of start and stop, in order; they may overlap or nest), and whether any word is left."""
+def strip(column: pa.Array, lists: pa.Array, spaced: bool = False) -> tuple[pa.Array, np.ndarray]:
+    """Texts without the ranges of words (of scan()'s kind) listed (structs of start and stop, in order; they may overlap or nest), and whether any word is left."""
     out, left = column.to_pylist(), np.ones(len(column), np.bool_)
     touched = [i for i, x in enumerate(lists.to_pylist()) if x]
     for i in touched:
-        words = textscan.scan(column.slice(i, 1), hashes=False)
+        words = textscan.scan(column.slice(i, 1), hashes=False, spaced=spaced)
         data, at, parts = words.data.tobytes(), 0, []
         n = len(words.start)
         for x in lists[i].as_py():
@@ -408,10 +425,10 @@ def strip(column: pa.Array, lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.array(out, pa.large_string()), left
 
 
-def remove_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+def remove_ranges(docs: DataFrame, ranges: DataFrame, spaced: bool = False) -> DataFrame:
     """docs without the word ranges (doc_id, row, start, stop) of ranges; n_chars, where there is one, follows the text.
 
-    row is row_key() of the row that a range belongs to, so that rows which share a doc_id lose only their own ranges.
+    Words are those of textscan.scan(spaced=spaced). row is row_key() of the row that a range belongs to, so that rows which share a doc_id lose only their own ranges.
     A document of which no word is left goes; all others stay. Rows with a null doc_id stay as they are. Columns of
     docs may have any names.
     """
@@ -431,7 +448,7 @@ def remove_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
             if touched.any():
                 i = names.index("text")
                 mask = pa.array(touched)
-                text, some = strip(textscan.strings(columns[i].filter(mask), lower=False), lists.filter(mask))
+                text, some = strip(textscan.strings(columns[i].filter(mask), lower=False), lists.filter(mask), spaced)
                 left[touched] = some
                 columns[i] = pc.replace_with_mask(columns[i], mask, text.cast(columns[i].type))
                 if "n_chars" in names:
@@ -445,4 +462,4 @@ def remove_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs without the passages that spans() finds: the first occurrence of each stays. See spans and remove_ranges for the special cases."""
-    return remove_ranges(docs, keyed_spans(docs))
+    return remove_ranges(docs, keyed_spans(docs), spaced=True)

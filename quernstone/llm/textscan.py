@@ -1,7 +1,7 @@
 """Vectorised word scanning of Arrow string columns.
 
 A word is a maximal run of ASCII letters, ASCII digits and non-ASCII characters of the lower-cased text; every
-other ASCII character separates words. Words are represented by 64-bit polynomial hashes, computed for a whole
+other ASCII character separates words (scan() has another kind too). Words are represented by 64-bit polynomial hashes, computed for a whole
 chunk of documents at once, so that no Python object is made per word.
 """
 
@@ -23,6 +23,8 @@ WORD = np.zeros(256, np.bool_)
 for _c in b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789":
     WORD[_c] = True
 WORD[128:] = True
+BLANK = np.zeros(256, np.bool_)
+BLANK[list(b" \t\n\v\f\r")] = True
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -95,11 +97,15 @@ def pieces(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         at = to
 
 
-def scan(column: pa.Array, hashes: bool = True, stem: int = 0) -> Words:
-    """Words of a large_string array that strings() made; with stem, hashes are of their first stem bytes only."""
+def scan(column: pa.Array, hashes: bool = True, stem: int = 0, spaced: bool = False) -> Words:
+    """Words of a large_string array that strings() made; with stem, hashes are of their first stem bytes only.
+
+    With spaced, words are what stands between ASCII white space, as people count them; their hashes pass over all
+    bytes that are in no other kind of word, and are equal for all words of nothing but such signs.
+    """
     data, offsets = raw(column)
     n = len(data)
-    word = WORD[data]
+    word = ~BLANK[data] if spaced else WORD[data]
     before, after = np.empty(n, np.bool_), np.empty(n, np.bool_)
     if n:
         before[0], before[1:] = False, word[:-1]
@@ -110,7 +116,13 @@ def scan(column: pa.Array, hashes: bool = True, stem: int = 0) -> Words:
     end = np.flatnonzero(word & ~after) + 1
     ptr = np.searchsorted(start, offsets)
     h = np.zeros(0, np.uint64)
-    if hashes and len(start):
+    if hashes and len(start) and spaced:
+        kept = WORD[data]
+        before = np.concatenate(([0], np.cumsum(kept)))
+        inner = data[kept]
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((inner.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(inner))[: len(inner)])))
+        h = mix((total[before[end]] - total[before[start]]) * powers(INVERSE, len(inner))[before[start]])
+    elif hashes and len(start):
         total = np.empty(n + 1, np.uint64)
         total[0] = 0
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, n)[:n], out=total[1:])

@@ -13,17 +13,23 @@ def words(text):
     return WORD.findall((text or "").lower())
 
 
+SPACED = re.compile(r"[^ \t\n\v\f\r]+")
+
+
+def spaced_words(text):
+    """What stands between white space, without case and punctuation."""
+    return ["".join(words(x)) for x in SPACED.findall(text)]
+
+
 def spans_of_repeats(docs, length=suffixdedup.LENGTH):
-    """doc_id -> word numbers covered by windows that occur at an earlier (doc_id, word)."""
+    """doc_id -> word numbers covered by windows whose first occurrence is in a lesser doc_id."""
     seen, out = {}, {}
     for doc, text in sorted((d, t) for d, t in docs if d is not None and t is not None):
-        w = words(text)
+        w = spaced_words(text)
         for i in range(len(w) - length + 1):
             key = tuple(w[i : i + length])
-            if key in seen and seen[key] != (doc, i):
+            if seen.setdefault(key, doc) != doc:
                 out.setdefault(doc, set()).update(range(i, i + length))
-            else:
-                seen.setdefault(key, (doc, i))
     return out
 
 
@@ -72,9 +78,9 @@ def leaks(docs, items, gram=decontaminate.GRAM):
     return out
 
 
-def without_words(text, gone):
+def without_words(text, gone, kind=re.compile(r"[a-zA-Z0-9\u0080-\U0010ffff]+")):
     """Text without the words of these numbers and what lies between neighbouring ones."""
-    at, out, spans = 0, [], list(re.finditer(r"[a-zA-Z0-9\u0080-\U0010ffff]+", text))
+    at, out, spans = 0, [], list(kind.finditer(text))
     for i, m in enumerate(spans):
         if i in gone:
             if i - 1 not in gone:

@@ -51,6 +51,9 @@ def test_words_and_windows(texts):
     assert [bytes(got.data[a:b]).decode() for a, b in zip(got.start, got.end)] == flat
     assert np.diff(got.ptr).tolist() == [len(brute.words(t)) for t in texts]
     assert len(set(zip(flat, got.hash.tolist()))) == len(set(flat)) == len(set(got.hash.tolist()))
+    apart, plain = textscan.scan(column, spaced=True), [w for t in texts for w in brute.spaced_words(t.lower())]
+    assert np.diff(apart.ptr).tolist() == [len(brute.spaced_words(t)) for t in texts]
+    assert len(set(zip(plain, apart.hash.tolist()))) == len(set(plain)) == len(set(apart.hash.tolist()))
     begin = textscan.starts(got.ptr, 3)
     pairs = {(tuple(flat[i : i + 3]), int(textscan.windows(got.hash, 3)[i])) for i in begin.tolist()}
     assert len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
@@ -316,9 +319,9 @@ def test_merge_and_front_coding(parts):
             continue
         zero = np.zeros(len(part), np.int64)
         heads = len(set(gram.tolist()))
-        data = suffixdedup.encode(gram, right, size, np.zeros(0, np.uint32), zero, np.arange(len(part)), zero, zero) + heads.to_bytes(8, "little")
+        data = suffixdedup.encode(gram, right, size, np.zeros(0, np.uint32), zero, np.arange(len(part)), zero, zero + 2, np.arange(2 * len(part))) + heads.to_bytes(8, "little")
         got = suffixdedup.decode(data)
-        assert (got[0] == gram).all() and (got[1] == right).all() and (got[2] == size).all()
+        assert (got[0] == gram).all() and (got[1] == right).all() and (got[2] == size).all() and got[9].tolist() == list(range(2 * len(part)))
         runs.append((got[0], got[1], got[8]))
         plain += [(g, tuple(x), number) for g, x in part]
     if not runs:
@@ -346,11 +349,14 @@ def test_suffix_dedup(spark, rows):
     for i in range(60):  # passages of different length and place, runs of one word, chains of overlaps
         a, n = rng.randrange(140), rng.randrange(30, 60)
         made.append((i, " ".join([rng.choice(word) for _ in range(rng.randrange(80))] + passage[a : a + n] + (["same"] * rng.randrange(0, 120) if i % 5 == 0 else []) + [rng.choice(word) for _ in range(20)])))
+    line = " ".join(f"Row{i} | c{i}" for i in range(20))  # 60 words of which 40 have letters
+    made += [(100, line), (101, "x " + line.upper().replace("|", "--") + " y"), (102, f"{line}. {line}, {line}"), (103, "again " * 300), (104, "more of it " + "again " * 80), (105, "one. " * 200)]
     df = spark.createDataFrame(made, "doc_id long, text string").repartition(4)
     got = {}
     for r in suffixdedup.spans(df, run_rows=20).collect():
         got.setdefault(r.doc_id, set()).update(range(r.start, r.stop))
     assert got == brute.spans_of_repeats(made)
+    assert len(got[102]) == 3 * 60 and 103 not in got and len(got[104]) == 80 and 105 not in got and 101 in got
 
 
 def test_packing(spark, rows):
@@ -542,7 +548,7 @@ def test_pipeline(spark, rows, items):
     for d, _ in brute.near_groups(left.items()):
         left.pop(d)
     for d, gone in brute.spans_of_repeats(left.items()).items():
-        left[d] = brute.without_words(left[d], gone)
+        left[d] = brute.without_words(left[d], gone, brute.SPACED)
     left = {d: t for d, t in left.items() if brute.words(t)}
     found = brute.leaks(left.items(), items)
     for d in {x[0] for x in found}:
