@@ -21,6 +21,8 @@ from quernstone.llm.suffixdedup import remove_ranges
 from quernstone.session import cut
 
 GRAM = 8
+#: Items of fewer words are found only where they are all of a document: a word or two are in every text.
+SHORTEST = 3
 #: A document of which at least this share of words is benchmark text goes as a whole.
 DOCUMENT_SHARE = 0.5
 #: Benchmark words in one broadcast set; a larger benchmark is scanned for in several passes, each with a part of it.
@@ -82,6 +84,8 @@ def hits(words: textscan.Words, grams: Grams, bitmaps: list[np.ndarray]) -> tupl
         item = items[entry]
         offset = at - (grams.ptr[item] + places[entry])  # document word minus item word
         within = at + size <= words.ptr[doc + 1]
+        if size < SHORTEST:
+            within &= np.diff(words.ptr)[doc] == size
         doc, item, offset, at = doc[within], item[within], offset[within], at[within]
         # hits on one diagonal are one run or several: those already covered by the run before are skipped
         order = np.lexsort((at, offset, item, doc))
@@ -109,8 +113,8 @@ def spans(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, set_words: in
     """(doc_id, row, item_id, start, stop, doc_words): runs of at least gram words that a document shares with a benchmark item.
 
     start and stop are word numbers. row is the key of the row's doc_id and text: rows of one doc_id with different
-    texts are documents of their own. Items of less than gram words count when the whole item occurs. Null, empty or
-    wordless texts and items never match; rows with a null doc_id are left out; a repeated row gives its spans once.
+    texts are documents of their own. Items of less than gram words count when the whole item occurs,
+    those of less than SHORTEST when they are the whole document. Null, empty or wordless texts and items never match; rows with a null doc_id are left out; a repeated row gives its spans once.
     Without items, or on an empty table, the result is empty. The benchmark's grams are broadcast in parts of at most
     set_words words, so that a benchmark of any size is scanned for in as many passes as it needs. Columns other than
     doc_id, text, item_id are not looked at.
@@ -175,7 +179,7 @@ def verdicts_sql(gram: int = GRAM, share: float = DOCUMENT_SHARE) -> str:
         sizes AS (SELECT DISTINCT g FROM bs),
         dg AS (SELECT doc_id, g, i - 1 AS dp, len(w) AS n, list_aggregate(w[i:i + g - 1], 'string_agg', ' ') AS s
                FROM (SELECT doc_id, w, g, unnest(range(1, len(w) - g + 2)) AS i FROM d, sizes WHERE len(w) >= g)),
-        h AS (SELECT doc_id, item_id, n, dp, dp - bp AS diagonal, dg.g FROM dg JOIN bg USING (s, g)),
+        h AS (SELECT doc_id, item_id, n, dp, dp - bp AS diagonal, dg.g FROM dg JOIN bg USING (s, g) WHERE dg.g >= {SHORTEST} OR n = dg.g),
         m AS (SELECT *, dp - lag(dp) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY dp) AS step FROM h),
         r AS (SELECT *, sum(CASE WHEN step = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY dp) AS run FROM m),
         f AS (SELECT DISTINCT doc_id, item_id, start, stop, n FROM (SELECT doc_id, item_id, min(dp) AS start, max(dp) + max(g) AS stop, max(n) AS n FROM r GROUP BY doc_id, item_id, diagonal, run)),

@@ -25,6 +25,8 @@ WORD_BITS = 18
 #: Words count by their first bytes, so that forms of a stem are one term.
 STEM = 7
 SIGNS = 40
+#: Documents of the sample that must have a stem for it to be a term: one alone makes nothing alike.
+LEAST = 2
 #: Stems whose part of the sample's matrix is spread out at a time.
 STEMS = 8192
 RANK = 64
@@ -138,10 +140,11 @@ def fit(texts: list[str], label: np.ndarray, rank: int = RANK) -> Model:
     there = np.concatenate([(marks > 0).sum(0), np.bincount(stem, minlength=space)]).astype(np.float64)
     weight = np.log((1 + n) / (1 + there)).astype(np.float32) + np.float32(0.1)
     weight *= tell(there, np.concatenate([label @ (marks > 0), np.bincount(stem, label[doc], minlength=space)]), label) if n else 1
-    chosen = np.flatnonzero(there[SIGNS:])
+    chosen = np.flatnonzero(there[SIGNS:] >= LEAST)
     column = np.full(space, -1, np.int32)
     column[chosen] = SIGNS + np.arange(len(chosen))
     weight = np.concatenate([weight[:SIGNS], weight[SIGNS + chosen]])
+    doc, stem, size = (x[column[stem] >= 0] for x in (doc, stem, size))
     # cells of the sample's matrix by column; it is spread out some columns at a time
     cell = np.concatenate([damp(marks).ravel(), damp(size)]) * np.concatenate([np.tile(weight[:SIGNS], n), weight[column[stem]]])
     where = np.concatenate([np.tile(np.arange(SIGNS), n), column[stem]])
@@ -180,11 +183,12 @@ def vote(vectors: np.ndarray, model: Model, neighbours: int = NEIGHBOURS) -> np.
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, rank: int = RANK) -> tuple[Model, Model]:
-    """Models of quality and toxic from the labelled documents with the least hashes, at most sample_rows of them."""
+    """Models of quality and toxic from the labelled documents with the least hashes, at most sample_rows of them; of the rows of one doc_id the text with the least hash counts."""
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").cast("long").alias("__id"), F.col("quality").cast("int").alias("__q"), F.col("toxic").cast("int").alias("__t"))
     picked = known.orderBy(F.xxhash64("__id"), "__id", "__q", "__t").limit(sample_rows)
-    rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(picked), F.col("doc_id") == F.col("__id")).select("__id", "text", "__q", "__t").collect()
-    rows = sorted({tuple(r) for r in rows})
+    rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(picked), F.col("doc_id") == F.col("__id"))
+    rows = rows.groupBy("__id", "__q", "__t").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("__id", "text", "__q", "__t").collect()
+    rows = sorted(tuple(r) for r in rows)
     texts = [r[1] for r in rows]
     return tuple(fit(texts, np.array([r[i] for r in rows], np.float32), rank) for i in (2, 3))
 

@@ -12,42 +12,52 @@ from quernstone.session import table
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark text in documents. Special cases: decontaminate.spans."""
     return decontaminate.verdicts(decontaminate.spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of documents by their metadata. Special cases: kdshard.assign."""
     return kdshard.assign(table(spark, sf_dir, "documents"))
 
 
 def op3_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality and toxicity of every document. Special cases: knnquality.classify."""
     return knnquality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on every page's URL. Special cases: urlglob.judge."""
     return urlglob.judge(table(spark, sf_dir, "pages"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document. Special cases: langkernel.identify."""
     return langkernel.identify(table(spark, sf_dir, "documents"))
 
 
 def op6_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WARC records of every page, by way of an ARC archive of it. Special cases: arc2warc.warc_records and convert."""
     return arc2warc.convert_pages(table(spark, sf_dir, "pages"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of documents that repeat earlier documents. Special cases: suffixdedup.spans."""
     return suffixdedup.spans(table(spark, sf_dir, "documents"))
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of all documents' pieces in training sequences. Special cases: packing.assign."""
     return packing.assign(table(spark, sf_dir, "documents"))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near and exact duplicates among documents. Special cases: simhash.groups."""
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
 def op10_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posterior quality of every document. Special cases: weakrules.score."""
     return weakrules.score(table(spark, sf_dir, "documents"))
 
 

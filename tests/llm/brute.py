@@ -73,7 +73,7 @@ def leaks(docs, items, gram=decontaminate.GRAM):
                         n = 0
                         while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
                             n += 1
-                        if g and n >= g:
+                        if g and n >= g and (g >= decontaminate.SHORTEST or n == len(w)):
                             out.add((d, m, i, i + n))
     return out
 

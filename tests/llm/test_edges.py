@@ -52,6 +52,14 @@ def test_decontamination(docs, none, benchmark):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted((r[0] or -1) for r in ROWS if r[0] != 12)
 
 
+def test_decontamination_by_short_items(spark):
+    """Items of one or two words are found where they are the whole document, and nowhere else."""
+    items = spark.createDataFrame([(1, "Yes."), (2, "New York"), (3, "the old man")], "item_id long, text string")
+    made = spark.createDataFrame([(1, "Yes, the old man said yes to all."), (2, "yes!"), (3, "new york"), (4, "New York is big"), (5, "yes yes")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.start, r.stop) for r in decontaminate.spans(made, items).collect()} == {(1, 3, 1, 4), (2, 1, 0, 1), (3, 2, 0, 2)}
+    assert {r.doc_id: r.text for r in decontaminate.remove(made, items).collect()} == {1: "Yes,  said yes to all.", 4: "New York is big", 5: "yes yes"}
+
+
 def test_decontamination_of_nested_spans(spark):
     """Items that share a run, and an item that repeats one, give spans within spans; no word of them stays."""
     stock = "which of the following statements about it is true "
