@@ -170,7 +170,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, share: float
 
 def verdicts_sql(gram: int = GRAM, share: float = DOCUMENT_SHARE) -> str:
     """verdicts(spans()) over documents and benchmark in DuckDB's SQL: common runs as islands of equal words on a diagonal."""
-    words = "regexp_extract_all(lower(text), '[a-z0-9\\x{80}-\\x{10FFFF}]+')"
+    words = f"regexp_extract_all(lower(text), '{textscan.word_class(chr(92) + 'x{{{}}}')}')"
     return f"""
         WITH d AS (SELECT DISTINCT doc_id, {words} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
         b AS (SELECT DISTINCT item_id, {words} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),

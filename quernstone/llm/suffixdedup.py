@@ -41,7 +41,7 @@ CONTEXT = LENGTH - GRAM
 BLOCK = 10_000
 #: Suffixes of a run, and of a range of the first letter on average.
 RUN_ROWS = 1 << 16
-RANGE_ROWS = 1 << 14
+RANGE_ROWS = 1 << 12
 
 
 def anchors(words: textscan.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,7 +1,8 @@
 """Vectorised word scanning of Arrow string columns.
 
-A word is a maximal run of ASCII letters, ASCII digits and non-ASCII characters of the lower-cased text; every
-other ASCII character separates words (scan() has another kind too). Words are represented by 64-bit polynomial hashes, computed for a whole
+A word is a maximal run of letters, digits and other signs of the lower-cased text; ASCII punctuation, and the blanks,
+quotation marks, dashes and other punctuation of SEPARATORS, part words, and each character of LONE (kana and ideographs,
+which are written without blanks) is a word of its own. scan() has another kind of word too. Words are represented by 64-bit polynomial hashes, computed for a whole
 chunk of documents at once, so that no Python object is made per word.
 """
 
@@ -26,6 +27,43 @@ WORD[128:] = True
 BLANK = np.zeros(256, np.bool_)
 BLANK[list(b" \t\n\v\f\r")] = True
 
+#: Ranges of characters beyond ASCII that part words, that are blanks, and that are words of their own.
+SEPARATORS = ((0x80, 0xA9), (0xAB, 0xB1), (0xB4, 0xB4), (0xB6, 0xB8), (0xBB, 0xBB), (0xBF, 0xBF), (0x2000, 0x206F), (0x3000, 0x3004), (0x3008, 0x303F), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20))
+BLANKS = ((0x85, 0x85), (0xA0, 0xA0), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+LONE = ((0x3040, 0x9FFF),)
+
+
+def _table(ranges: tuple[tuple[int, int], ...]) -> np.ndarray:
+    out = np.zeros(1 << 16, np.bool_)
+    for a, b in ranges:
+        out[a : b + 1] = True
+    return out
+
+
+_SEPARATOR, _BLANK, _LONE = _table(SEPARATORS), _table(BLANKS), _table(LONE)
+
+
+def wide(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte, number of bytes, code point) of the characters of two or three bytes that may be in one of the tables."""
+    two = np.flatnonzero(data == 0xC2)
+    three = np.flatnonzero((data == 0xE2) | ((data >= 0xE3) & (data <= 0xE9)) | (data == 0xEF))
+    low = lambda at: data[at].astype(np.int64) & 0x3F
+    code = np.concatenate([0x80 | low(two + 1), (data[three].astype(np.int64) & 15) << 12 | low(three + 1) << 6 | low(three + 2)])
+    return np.concatenate([two, three]), np.repeat([2, 3], [len(two), len(three)]), code
+
+
+def word_class(form: str) -> str:
+    """Regular expression of a word, code points being written as form.format(hexadecimal)."""
+    parts, at = [], 0x80
+    for a, b in sorted((*SEPARATORS, *LONE)):
+        if at < a:
+            parts.append((at, a - 1))
+        at = b + 1
+    parts.append((at, 0x10FFFF))
+    span = lambda a, b: form.format(f"{a:08X}") + "-" + form.format(f"{b:08X}")
+    return "[" + "".join(span(*x) for x in LONE) + "]|[a-z0-9" + "".join(span(*x) for x in parts) + "]+"
+
+
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -100,26 +138,38 @@ def pieces(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
 def scan(column: pa.Array, hashes: bool = True, stem: int = 0, spaced: bool = False) -> Words:
     """Words of a large_string array that strings() made; with stem, hashes are of their first stem bytes only.
 
-    With spaced, words are what stands between ASCII white space, as people count them; their hashes pass over all
-    bytes that are in no other kind of word, and are equal for all words of nothing but such signs.
+    With spaced, words are what stands between white space, as people count them (and each character of LONE); their
+    hashes pass over all bytes that are in no other kind of word, and are equal for all words of nothing but such signs.
     """
     data, offsets = raw(column)
     n = len(data)
-    word = ~BLANK[data] if spaced else WORD[data]
+    inside = WORD[data]
+    word = ~BLANK[data] if spaced else inside
+    apart = np.zeros(0, np.int64)
+    if (data > 127).any():
+        at, size, code = wide(data)
+        for k in range(3):
+            there = size > k
+            inside[at[there & _SEPARATOR[code]] + k] = False
+            if spaced:
+                word[at[there & _BLANK[code]] + k] = False
+        lone = at[_LONE[code]]
+        apart = np.concatenate([lone, lone + 3])
+        apart = apart[(apart > 0) & (apart < n)]
     before, after = np.empty(n, np.bool_), np.empty(n, np.bool_)
     if n:
         before[0], before[1:] = False, word[:-1]
         after[-1], after[:-1] = False, word[1:]
         edges = offsets[(offsets > 0) & (offsets < n)]
         before[edges], after[edges - 1] = False, False
+        before[apart], after[apart - 1] = False, False
     start = np.flatnonzero(word & ~before)
     end = np.flatnonzero(word & ~after) + 1
     ptr = np.searchsorted(start, offsets)
     h = np.zeros(0, np.uint64)
     if hashes and len(start) and spaced:
-        kept = WORD[data]
-        before = np.concatenate(([0], np.cumsum(kept)))
-        inner = data[kept]
+        before = np.concatenate(([0], np.cumsum(inside)))
+        inner = data[inside]
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((inner.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(inner))[: len(inner)])))
         h = mix((total[before[end]] - total[before[start]]) * powers(INVERSE, len(inner))[before[start]])
     elif hashes and len(start):

@@ -6,14 +6,18 @@ import pyarrow as pa
 
 from quernstone.llm import decontaminate, simhash, suffixdedup, textscan
 
-WORD = re.compile(r"[a-z0-9\u0080-\U0010ffff]+")
+#: Blanks and punctuation beyond ASCII, kana and ideographs.
+APART = "\u0080-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u2000-\u206f\u3000-\u3004\u3008-\u303f\uff01-\uff0f\uff1a-\uff20"
+LONE = "\u3040-\u9fff"
+WORD = re.compile(f"[{LONE}]|[^\\x00-/:-`{{-\x7f{APART}{LONE}]+")
 
 
 def words(text):
     return WORD.findall((text or "").lower())
 
 
-SPACED = re.compile(r"[^ \t\n\v\f\r]+")
+BLANKS = " \t\n\v\f\r\u0085\u00a0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACED = re.compile(f"[{LONE}]|[^{BLANKS}{LONE}]+")
 
 
 def spaced_words(text):
@@ -78,7 +82,7 @@ def leaks(docs, items, gram=decontaminate.GRAM):
     return out
 
 
-def without_words(text, gone, kind=re.compile(r"[a-zA-Z0-9\u0080-\U0010ffff]+")):
+def without_words(text, gone, kind=re.compile(f"[{LONE}]|[^\\x00-/:-@\\[-`{{-\x7f{APART}{LONE}]+")):
     """Text without the words of these numbers and what lies between neighbouring ones."""
     at, out, spans = 0, [], list(kind.finditer(text))
     for i, m in enumerate(spans):

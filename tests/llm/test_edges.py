@@ -52,6 +52,18 @@ def test_decontamination(docs, none, benchmark):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted((r[0] or -1) for r in ROWS if r[0] != 12)
 
 
+def test_decontamination_across_scripts(spark):
+    """Typographic marks and no-break spaces part words as plain ones do; ideographs are words."""
+    plain = 'she said "the cat sat on the mat - and the dog did not" to all of them'
+    fine = "she said \u201cthe\u00a0cat sat on the mat \u2014 and the dog did not\u201d to all of them"
+    chinese = "人人生而自由，在尊严和权利上一律平等。"
+    items = spark.createDataFrame([(1, plain), (2, chinese)], "item_id long, text string")
+    own = " ".join(f"own{i}" for i in range(60))
+    made = spark.createDataFrame([(1, f"{own} {fine} {own}"), (2, f"{own}“{chinese}”{own}")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.start, r.stop) for r in decontaminate.spans(made, items).collect()} == {(1, 1, 60, 77), (2, 2, 60, 77)}
+    assert {r.text for r in decontaminate.remove(made, items).collect()} == {f"{own}  {own}", f"{own}“。”{own}"}
+
+
 def test_decontamination_by_short_items(spark):
     """Items of one or two words are found where they are the whole document, and nowhere else."""
     items = spark.createDataFrame([(1, "Yes."), (2, "New York"), (3, "the old man")], "item_id long, text string")

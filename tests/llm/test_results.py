@@ -43,7 +43,7 @@ def run(spark, name):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("aAbB1 .\n\u00e9\u4e2d\u212a", max_size=30), max_size=6))
+@given(st.lists(st.text("aAbB1 .\n\u00e9\u4e2d\u212a\u00a0\u201c\u3001\u3042\u00aa\uff0c\u2070\U0001f600", max_size=30), max_size=6))
 def test_words_and_windows(texts):
     column = textscan.strings(pa.array(texts, pa.large_string()))
     got = textscan.scan(column)
