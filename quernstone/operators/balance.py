@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from quernstone.operators.labels import frequencies
 
@@ -25,20 +25,23 @@ def quantile_range(df: DataFrame, tokens: str = "token_count", complexity: str =
     return joined.filter(F.col(tokens).between(F.col("__t")[0], F.col("__t")[1]) & F.col(complexity).between(F.greatest(F.lit(float(floor)), F.col("__c")[0]), F.col("__c")[1])).drop("__t", "__c")
 
 
-def rank_slice(df: DataFrame, begin: Column, n: int, by: Sequence[str], value: str, key: str) -> DataFrame:
+def rank_slice(df: DataFrame, with_begin: Callable[[DataFrame, WindowSpec], DataFrame], n: int, by: Sequence[str], value: str, key: str) -> DataFrame:
     """Rows of each group whose position in the order of (value, key) is begin .. begin + n - 1; a group of at most n rows whole.
 
-    begin may refer to __n, the size of the group. Only counts by value are sorted over a whole group; the rows that have
-    a value of the slice are then ranked among themselves, so that no task sorts a large group.
+    with_begin adds __begin to the counts by value (__v the value, __c its rows, __upto the rows up to it, __n the size of
+    the group), given the window of a group. Only these counts are sorted over a whole group; the rows that have a value
+    of the slice are then ranked among themselves, so that no task sorts a large group.
     """
-    w = Window.partitionBy(*(f"__g{i}" for i in range(len(by))))
-    counts = df.groupBy(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(by)), F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    names = [f"__g{i}" for i in range(len(by))]
+    w = Window.partitionBy(*names)
+    counts = df.groupBy(*(F.col(c).alias(g) for c, g in zip(by, names)), F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
     counts = counts.withColumn("__n", F.sum("__c").over(w)).withColumn("__upto", F.sum("__c").over(w.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))
-    counts = counts.withColumn("__begin", begin).filter((F.col("__n") <= n) | ((F.col("__upto") > F.col("__begin")) & (F.col("__upto") - F.col("__c") < F.col("__begin") + n)))
-    counts = counts.withColumn("__ahead", F.min(F.col("__upto") - F.col("__c")).over(w)).drop("__c", "__upto")
+    first = F.col("__upto") - F.col("__c")
+    counts = with_begin(counts, w).filter((F.col("__n") <= n) | ((F.col("__upto") > F.col("__begin")) & (first < F.col("__begin") + n)))
+    counts = counts.withColumn("__ahead", F.min(first).over(w)).select("__v", "__n", "__begin", "__ahead", *names)
     on = F.col(value).eqNullSafe(F.col("__v"))
-    for i, c in enumerate(by):
-        on = on & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    for c, g in zip(by, names):
+        on = on & F.col(c).eqNullSafe(F.col(g))
     rows = df.join(counts, on).withColumn("__i", F.row_number().over(w.orderBy(value, key)) - 1 + F.col("__ahead"))
     return rows.filter((F.col("__n") <= n) | ((F.col("__i") >= F.col("__begin")) & (F.col("__i") < F.col("__begin") + n))).select(*df.columns)
 
@@ -46,16 +49,25 @@ def rank_slice(df: DataFrame, begin: Column, n: int, by: Sequence[str], value: s
 def median_centred(df: DataFrame, n: int, by: Sequence[str] = (), value: str = "token_count", key: str = "id") -> DataFrame:
     """At most n rows of each group around the middle position; a group of at most n rows is taken whole."""
     begin = F.greatest(F.lit(0), F.least(F.floor(F.col("__n") / 2) - n // 2, F.col("__n") - n))
-    return rank_slice(df, begin, n, by, value, key)
+    return rank_slice(df, lambda counts, w: counts.withColumn("__begin", begin), n, by, value, key)
 
 
 def around_median(df: DataFrame, n: int, by: Sequence[str] = (), value: str = "token_count", key: str = "id") -> DataFrame:
-    """The row nearest the median value, n // 2 rows before it and the rest after it, shifted at either end; a group of at most n rows whole."""
-    w = Window.partitionBy(*by)
-    rows = df.withColumn("__i", F.row_number().over(w.orderBy(value, key)) - 1).withColumn("__n", F.count("*").over(w)).withColumn("__m", F.percentile(value, 0.5).over(w))
-    rows = rows.withColumn("__at", F.min(F.struct(F.abs(F.col(value) - F.col("__m")).alias("d"), F.col("__i").alias("i"))).over(w)["i"])
-    begin = F.greatest(F.lit(0), F.least(F.col("__at") - n // 2, F.col("__n") - n))
-    return rows.filter((F.col("__n") <= n) | ((F.col("__i") >= begin) & (F.col("__i") < begin + n))).drop("__i", "__n", "__m", "__at")
+    """The row nearest the median value, n // 2 rows before it and the rest after it, shifted at either end; a group of at most n rows whole.
+
+    Null values stand before all others and have no part in the median.
+    """
+
+    def with_begin(counts: DataFrame, w: WindowSpec) -> DataFrame:
+        first, size = F.col("__upto") - F.col("__c"), F.col("__n")
+        counts = counts.withColumn("__some", F.coalesce(F.sum(F.when(F.col("__v").isNotNull(), F.col("__c"))).over(w), F.lit(0)))
+        at = lambda k: F.max(F.when((first <= k) & (F.col("__upto") > k), F.col("__v"))).over(w)
+        counts = counts.withColumn("__median", (at(size - F.col("__some") + F.floor((F.col("__some") - 1) / 2)) + at(size - F.col("__some") + F.floor(F.col("__some") / 2))) / 2)
+        near = F.when(F.col("__v").isNotNull(), F.struct(F.abs(F.col("__v") - F.col("__median")).alias("d"), first.alias("i")))
+        counts = counts.withColumn("__at", F.coalesce(F.min(near).over(w)["i"], F.lit(0)))
+        return counts.withColumn("__begin", F.greatest(F.lit(0), F.least(F.col("__at") - n // 2, size - n)))
+
+    return rank_slice(df, with_begin, n, by, value, key)
 
 
 def per_label_selection(df: DataFrame, n: int, least: int, labels: str = "cwe", value: str = "token_count", key: str = "id") -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import statistics
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -284,6 +285,14 @@ def test_rank_slices_of_ties_nulls_and_groups(spark):
             want += [r[0] for r in (order if len(order) <= n else order[begin : begin + n])]
         got = balance.median_centred(df, n, ("g",))
         assert got.columns == df.columns and sorted(r.id for r in got.collect()) == sorted(want)
+        want = []
+        for g in ("a", "b", "c", None):
+            order = sorted((r for r in rows if r[1] == g), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+            middle = statistics.median(r[2] for r in order if r[2] is not None)
+            at = min(range(len(order)), key=lambda i: (order[i][2] is None, abs((order[i][2] or 0) - middle), i))
+            begin = max(0, min(at - n // 2, len(order) - n))
+            want += [r[0] for r in (order if len(order) <= n else order[begin : begin + n])]
+        assert sorted(r.id for r in balance.around_median(df, n, ("g",)).collect()) == sorted(want)
 
 
 def test_stratified_split_takes_the_first_hashes(spark):
