@@ -184,19 +184,23 @@ def decide(column: pa.Array, model: Model, least: float) -> tuple[np.ndarray, np
 
 
 def shares(counts: dict[str, int], rows: int) -> dict[str, int]:
-    """Rows of each language in a sample: equal ones, what a rare language lacks going to the others."""
-    out, left = {}, rows
-    for i, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
-        out[lang] = min(counts[lang], max(1, left // (len(counts) - i)))
-        left -= out[lang]
-    return out
+    """Rows of each language in a sample of at most `rows`: a quarter of the sample in equal parts, so that a rare language is learnt too, the rest in proportion."""
+    total = sum(counts.values())
+    if total <= rows:
+        return dict(counts)
+    least = max(1, rows // (4 * len(counts)))
+    out = {k: min(n, least) for k, n in counts.items()}
+    left = rows - sum(out.values())
+    part = {k: left * (counts[k] - out[k]) / max(1, total - sum(out.values())) for k in counts}
+    over = left - sum(int(x) for x in part.values())
+    first = sorted(part, key=lambda k: (int(part[k]) - part[k], k))[:over]
+    return {k: out[k] + int(part[k]) + (k in first) for k in counts}
 
 
 def labelled(docs: DataFrame, rows: int) -> tuple[list[str], ...]:
     """Texts and languages of at most rows labelled documents of the whole table.
 
-    Each language has the same share, so that a rare one is learnt too (where there are more languages than rows, the
-    most frequent count); of a language those documents are taken whose doc_id and text have the least hash.
+    Each language has its share (where there are more languages than rows, the most frequent have); of a language those documents are taken whose doc_id and text have the least hash.
     """
     spark = docs.sparkSession
     known = docs.filter("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
