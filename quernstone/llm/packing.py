@@ -33,7 +33,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: White space that, next to a single space, the pre-tokeniser may join to it.
 BLANK = r"[\s\x0b\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Bytes of text whose distinct pieces are encoded at a time.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 
 @lru_cache(maxsize=2)
