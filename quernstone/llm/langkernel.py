@@ -30,7 +30,7 @@ from quernstone.llm.common import arrow_map, batch, row_key
 BLOCK = 192
 #: Share of the held-out rows, at each size, that floors may reject, the highest floor, and the fewest held-out texts that set one.
 LOST = 0.005
-HIGHEST = 0.1
+HIGHEST = 0.05
 FLOOR_ROWS = 50
 #: Distinct grams at which the floor changes, and the beginnings (words) of the held-out rows that set floors of small sizes.
 SIZES = np.array([48, 64, 96, 128, 192, 256, 384, 512, 768, 1024])
