@@ -66,7 +66,7 @@ def s07(spark, sf_dir):
 def s06(spark, sf_dir):
     path = scratch(spark, "reasoning")
     t = texts(spark, sf_dir).withColumn("sample_id", F.when(F.col("id") % 3 == 0, F.concat(F.lit("s"), F.col("id").cast("string")))).withColumn("func", F.when(F.col("id") % 5 != 0, F.lit("f")))
-    t.orderBy("id").coalesce(1).select(F.to_json(F.struct("sample_id", "project", "func", F.col("target").cast("long").alias("target"), "reasoning")).alias("value")).write.text(path)
+    t.orderBy("id").select(F.to_json(F.struct("sample_id", "project", "func", F.col("target").cast("long").alias("target"), "reasoning")).alias("value")).write.text(path)
     return readers.samples(spark, path).select("sample_id", "project", "reasoning")
 
 

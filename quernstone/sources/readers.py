@@ -27,15 +27,19 @@ def with_corrupt(spark: SparkSession, path: str, schema: str = RAW) -> DataFrame
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, line): lines of a single file with their numbers from 0.
+    """(value, line): lines of a file, or of a folder's files in the order of their paths, with their numbers from 0.
 
-    Parts of a file are read in order, so a line's number is its place in its part and the sum of the parts before.
+    Files are read in blocks, each in order by one task, so a line's number is its place in its block and the sum of the
+    blocks before. Should the two readings divide the files differently, the job fails.
     """
-    rows = spark.read.text(path).withColumn("__id", F.monotonically_increasing_id())
-    part, own = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = rows.groupBy(part.alias("__part")).agg((F.max(own) + 1).alias("__n"))
-    ahead = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))
-    return rows.withColumn("__part", part).withColumn("__own", own).join(F.broadcast(ahead), "__part").select("value", (F.col("__own") + F.col("__ahead")).alias("line"))
+    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("__id"), F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__start"), F.col("_metadata.file_block_length").alias("__length"))
+    rows = rows.withColumn("__part", F.shiftright("__id", 33))
+    block = ["__path", "__start", "__length", "__part"]
+    sizes = rows.groupBy(*block).agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__path", "__start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = sizes.select(*block, (before - F.col("__first")).alias("__ahead"))
+    line = F.col("__id") + F.coalesce("__ahead", F.raise_error(F.lit("the files were divided differently when their lines were counted")).cast("long"))
+    return rows.join(F.broadcast(ahead), block, "left").select("value", line.alias("line"))
 
 
 def samples(spark: SparkSession, path: str, required: Sequence[str] = ("project", "func", "target"), schema: str = SAMPLE) -> DataFrame:

@@ -426,3 +426,58 @@ def test_guards(tmp_path):
 def test_refusing_to_write_nothing(spark, tmp_path):
     with pytest.raises(ValueError):
         writers.jsonl(spark.createDataFrame([], "a int"), str(tmp_path / "x"), refuse_empty=True)
+
+
+def most_rows_in_a_task(spark, run):
+    """The most rows that one task of run() writes or takes from a shuffle, by the status store."""
+    group = hashlib.md5(os.urandom(8)).hexdigest()
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jvm, store = spark.sparkContext._jvm, spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    most = 0
+    for job in spark.sparkContext.statusTracker().getJobIdsForGroup(group):
+        for stage in spark.sparkContext.statusTracker().getJobInfo(job).stageIds:
+            try:
+                tasks = store.taskList(stage, 0, 10_000)
+            except Exception:  # a stage that was skipped
+                continue
+            for t in jvm.scala.jdk.javaapi.CollectionConverters.asJava(tasks):
+                m = t.taskMetrics()
+                if m.isDefined():
+                    most = max(most, m.get().outputMetrics().recordsWritten(), m.get().shuffleReadMetrics().recordsRead())
+    return most
+
+
+def test_numbered_lines_of_many_files(spark, tmp_path):
+    """Files of unlike lengths, an empty one among them, cut into blocks: numbers go on from file to file in the order of paths."""
+    draw, every = random.Random(1), []
+    for i in range(9):
+        lines = [f"{i}:{k}:" + "x" * draw.randrange(60) for k in range(draw.choice((0, 3, 700, 2500)) if i != 4 else 0)]
+        every += lines
+        (tmp_path / f"part-{i:05}.txt").write_text("".join(x + "\n" for x in lines))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in (("spark.sql.files.maxPartitionBytes", "20000"), ("spark.sql.files.openCostInBytes", "100")):
+            spark.conf.set(k, v)
+        got = {r.line: r.value for r in readers.numbered_lines(spark, str(tmp_path)).collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len(every) > 3000 and got == dict(enumerate(every))
+
+
+def test_samples_are_written_by_many_tasks(spark):
+    """s06_read_samples writes its files in the order of ids from many tasks."""
+    from quernstone.plans import registry
+
+    n = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").count()
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert most_rows_in_a_task(spark, lambda: registry.queries()["s06_read_samples"](spark, "/root/testdata/sf0.1").count()) < 0.6 * n
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
