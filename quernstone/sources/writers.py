@@ -3,16 +3,62 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: Bytes that joined() copies at a time.
+COPY_BYTES = 1 << 20
+
 
 def jsonl(df: DataFrame, path: str, mode: str = "errorifexists", single: bool = False, refuse_empty: bool = False) -> None:
     """JSON lines; single asks for one file, refuse_empty raises on a table without rows."""
     if refuse_empty and df.isEmpty():
         raise ValueError("no rows to write")
-    (df.coalesce(1) if single else df).write.mode(mode).json(path)
+    if single:
+        joined(df, path, mode)
+    else:
+        df.write.mode(mode).json(path)
+
+
+def joined(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """JSON lines in one file: parts are written by all tasks, then the driver joins them in order, COPY_BYTES at a time.
+
+    The rows are seen under path once the whole file is there.
+    """
+    jvm = df.sparkSession._jvm
+    hadoop, conf = jvm.org.apache.hadoop, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    folder = hadoop.fs.Path(path)
+    fs = folder.getFileSystem(conf)
+    if fs.exists(folder) and mode.lower() not in ("append", "overwrite"):
+        if mode.lower() == "ignore":
+            return
+        df.limit(0).write.mode(mode).json(path)  # raises
+    parts = hadoop.fs.Path(folder, f"_parts-{uuid.uuid4().hex}")
+    try:
+        df.write.json(parts.toString())
+        files = sorted((f.getPath() for f in fs.listStatus(parts) if f.getPath().getName().startswith("part-")), key=lambda p: (int(p.getName().split("-")[1]), p.getName()))
+        whole = hadoop.fs.Path(parts, "_whole")
+        out = fs.create(whole)
+        try:
+            for f in files:
+                source = fs.open(f)
+                try:
+                    hadoop.io.IOUtils.copyBytes(source, out, COPY_BYTES, False)
+                finally:
+                    source.close()
+        finally:
+            out.close()
+        if mode.lower() == "overwrite":
+            for f in fs.listStatus(folder):
+                if f.getPath().getName() != parts.getName():
+                    fs.delete(f.getPath(), True)
+        if not fs.rename(whole, hadoop.fs.Path(folder, files[0].getName() if files else "part-00000.json")):
+            raise OSError(f"the joined file cannot be moved into {path}")
+        fs.create(hadoop.fs.Path(folder, "_SUCCESS"), True).close()
+    finally:
+        fs.delete(parts, True)
 
 
 def label_counts_csv(counts: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -481,3 +481,22 @@ def test_samples_are_written_by_many_tasks(spark):
         assert most_rows_in_a_task(spark, lambda: registry.queries()["s06_read_samples"](spark, "/root/testdata/sf0.1").count()) < 0.6 * n
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+
+
+def test_one_file_is_written_by_many_tasks(spark, tmp_path):
+    """writers.jsonl(single=True): one file in the order of the rows, which no task holds whole; modes as Spark's."""
+    path = tmp_path / "one"
+    df = spark.range(0, 1000, 1, 10)
+    read = lambda: [r.value for r in spark.read.text(str(path)).collect()]
+    assert most_rows_in_a_task(spark, lambda: writers.jsonl(df, str(path), single=True)) == 100
+    assert read() == [f'{{"id":{i}}}' for i in range(1000)]
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        writers.jsonl(df, str(path), single=True)
+    writers.jsonl(df, str(path), "ignore", single=True)
+    assert [p.name[:5] for p in path.iterdir() if p.name[0] not in "._"] == ["part-"] and len(read()) == 1000
+    writers.jsonl(df.limit(3), str(path), "append", single=True)
+    assert len(read()) == 1003 and len([p for p in path.iterdir() if p.name[0] not in "._"]) == 2
+    writers.jsonl(df.limit(3), str(path), "overwrite", single=True)
+    assert read() == ['{"id":0}', '{"id":1}', '{"id":2}'] and not [p for p in path.iterdir() if "_parts" in p.name]
+    writers.jsonl(df.limit(0), str(path), "overwrite", single=True)
+    assert read() == []
