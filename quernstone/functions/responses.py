@@ -44,17 +44,26 @@ def as_bool(text: Column) -> Column:
     return F.when(low.isin("true", "1", "yes", "y", "on", "t"), True).when(low.isin("false", "0", "no", "n", "off", "f"), False)
 
 
+def once(df: DataFrame, column: Column, out: str) -> DataFrame:
+    """Adds column as out, computed once for each row.
+
+    It is given by a generator of one row: a filter on a column of a projection is moved before it, with the column's
+    expression in place of each mention, but not before a generator.
+    """
+    return df.select("*", F.explode(F.array(column)).alias(out))
+
+
 def with_parsed(df: DataFrame, text: str, out: str = "parsed") -> DataFrame:
     """Adds a struct of reasoning, vulnerabilities(cwe_id, description), is_vulnerable and cwe_list, null where the JSON cannot be read.
 
-    The JSON is read once for each row: it is a column of its own before its fields are looked at.
+    The JSON is read once for each row, and the struct is made once, whatever looks at their fields.
     """
-    got = df.withColumn("__r", F.from_json(F.nullif(json_block(F.col(text)), F.lit("")), RESPONSE + ", __bad string", {"columnNameOfCorruptRecord": "__bad"}))
+    got = once(df, F.from_json(F.nullif(json_block(F.col(text)), F.lit("")), RESPONSE + ", __bad string", {"columnNameOfCorruptRecord": "__bad"}), "__r")
     r = F.col("__r")
     found = F.transform(r["vulnerabilities"], lambda v: F.struct(as_int(v["cwe_id"]).alias("cwe_id"), v["description"].alias("description")))
     listed = F.transform(r["verdict"]["cwe_list"], as_int)
     whole = F.struct(r["reasoning"].alias("reasoning"), found.alias("vulnerabilities"), as_bool(r["verdict"]["is_vulnerable"]).alias("is_vulnerable"), listed.alias("cwe_list"))
-    return got.withColumn(out, F.when(r.isNotNull() & r["__bad"].isNull(), whole)).drop("__r")
+    return once(got.drop(out), F.when(r.isNotNull() & r["__bad"].isNull(), whole), out).drop("__r")
 
 
 def with_error(df: DataFrame, text: str, least_reasoning: int = 50, least_description: int = 1, out: str = "error", parsed: str = "parsed") -> DataFrame:

@@ -511,3 +511,13 @@ def test_judgements_are_grouped_by_many_tasks(spark, monkeypatch):
         df = registry.queries()[name](spark, "/root/testdata/sf0.001")
         assert most_rows_in_a_task(spark, df.toArrow) < 400
         assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2  # the final plan and the first
+
+
+def test_responses_are_read_once(spark):
+    """A filter on the outcome does not bring more readings of the JSON; rows with null text stay."""
+    df = spark.createDataFrame([(1, None), (2, '{"reasoning": "r", "vulnerabilities": [], "verdict": {"is_vulnerable": "no", "cwe_list": []}}'), (3, "{"), (4, "{}")], "id int, t string")
+    got = responses.with_error(df, "t", 0)
+    assert [r.error for r in got.orderBy("id").collect()] == ["empty_response", None, "missing_verdict", "validation_error"]
+    ok = got.filter("error IS NULL").select("id", "parsed.is_vulnerable", F.size("parsed.cwe_list").alias("n"))
+    assert [tuple(r) for r in ok.collect()] == [(2, False, 0)]
+    assert ok._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
