@@ -171,16 +171,17 @@ def stratified_split(df: DataFrame, by: str, test: float = 0.2, seed: int = 42,
     """Adds split: of each class the first test share of rows in hashed order is test, the rest train.
 
     Counts by class and beginning of the hash tell in which of 65,536 cells the cut falls; only the rows of that cell
-    are ranked, so that no task sorts a class.
+    are ranked, so that no task sorts a class. Rows meet their counts by class and cell, so that no task gets a class.
     """
     cell = F.conv(F.substring(hashed(key, seed), 1, 4), 16, 10).cast("int")
     w = Window.partitionBy("__g")
     counts = df.groupBy(F.col(by).alias("__g"), cell.alias("__cell")).agg(F.count("*").alias("__c"))
     counts = counts.withColumn("__want", F.floor(F.sum("__c").over(w) * test + 0.5)).withColumn("__upto", F.sum("__c").over(w.orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)))
-    # of each class the first cell that goes beyond what is wanted, and how many of its rows are test
-    edge = counts.filter(F.col("__upto") > F.col("__want")).groupBy("__g").agg(F.min_by(F.struct("__cell", (F.col("__want") - F.col("__upto") + F.col("__c")).alias("__rest")), "__cell").alias("__edge"))
-    rows = df.withColumn("__h", cell).join(edge, F.col(by).eqNullSafe(F.col("__g")), "left").withColumn("__e", F.col("__edge.__cell"))
-    near = rows.filter(F.col("__h") == F.col("__e")).withColumn("__i", F.row_number().over(Window.partitionBy(by).orderBy(hashed(key, seed), key)))
-    near = near.withColumn("split", F.when(F.col("__i") <= F.col("__edge.__rest"), "test").otherwise("train")).select(*df.columns, "split")
-    far = rows.filter(F.col("__e").isNull() | (F.col("__h") != F.col("__e"))).withColumn("split", F.when(F.col("__e").isNull() | (F.col("__h") < F.col("__e")), "test").otherwise("train"))
-    return far.select(*df.columns, "split").unionByName(near)
+    # how many of the cell's rows are test: all, none, or of one cell of a class some
+    counts = counts.select("__g", "__cell", "__c", F.least(F.col("__c"), F.greatest(F.lit(0), F.col("__want") - F.col("__upto") + F.col("__c"))).alias("__test"))
+    rows = df.withColumn("__h", cell).join(counts, F.col(by).eqNullSafe(F.col("__g")) & (F.col("__h") == F.col("__cell")))
+    cut = (F.col("__test") > 0) & (F.col("__test") < F.col("__c"))
+    near = rows.filter(cut).withColumn("__i", F.row_number().over(Window.partitionBy(by).orderBy(hashed(key, seed), key)))
+    near = near.withColumn("split", F.when(F.col("__i") <= F.col("__test"), "test").otherwise("train"))
+    far = rows.filter(~cut).withColumn("split", F.when(F.col("__test") > 0, "test").otherwise("train"))
+    return far.select(*df.columns, "split").unionByName(near.select(*df.columns, "split"))

@@ -521,3 +521,19 @@ def test_responses_are_read_once(spark):
     ok = got.filter("error IS NULL").select("id", "parsed.is_vulnerable", F.size("parsed.cwe_list").alias("n"))
     assert [tuple(r) for r in ok.collect()] == [(2, False, 0)]
     assert ok._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
+def test_stratified_split_does_not_bring_a_class_together(spark):
+    """Rows of one class are spread over tasks where the counts are not broadcast."""
+    df = spark.range(0, 150_000, 1, 4).selectExpr("id", "1 AS target")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(kept, ("-1", "false")):
+            spark.conf.set(k, v)
+        got = []
+        assert most_rows_in_a_task(spark, lambda: got.extend(balance.stratified_split(df, "target", 0.2).collect())) < 80_000
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    order = sorted(range(150_000), key=lambda i: hashlib.md5(f"{i}:42".encode()).hexdigest())
+    assert {r.id for r in got if r.split == "test"} == set(order[:30_000]) and len(got) == 150_000
