@@ -34,13 +34,16 @@ def _encoder(path: str):
 
 
 def bpe_count(path: str = VOCABULARY) -> Callable[[Column], Column]:
-    """Counter of tokens by the ranks file at path; null text has none."""
+    """Counter of tokens by the ranks file at path; null text has none.
+
+    Texts are encoded one at a time, so that a worker never holds the tokens of a whole batch.
+    """
 
     @F.pandas_udf("int")
     def count(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = _encoder(path)
         for text in texts:
-            yield pd.Series([len(x) for x in encoder.encode_ordinary_batch(text.fillna("").tolist(), num_threads=1)], dtype="int32")
+            yield pd.Series([len(encoder.encode_ordinary(x)) for x in text.fillna("")], dtype="int32")
 
     return count
 

@@ -537,3 +537,23 @@ def test_stratified_split_does_not_bring_a_class_together(spark):
             spark.conf.set(k, v)
     order = sorted(range(150_000), key=lambda i: hashlib.md5(f"{i}:42".encode()).hexdigest())
     assert {r.id for r in got if r.split == "test"} == set(order[:30_000]) and len(got) == 150_000
+
+
+def test_bpe_counts_hold_one_text_at_a_time(spark):
+    """Counting a batch takes far less memory than its tokens do."""
+    if not os.path.exists(tokens.VOCABULARY):
+        pytest.skip("no vocabulary here")
+    import tracemalloc
+
+    import pandas as pd
+
+    tokens._encoder(tokens.VOCABULARY)
+    texts = pd.Series([f"{i} the quick brown fox jumps over " * 50 for i in range(1000)])
+    count = tokens.bpe_count().func
+    tracemalloc.start()
+    try:
+        got = list(count(iter([texts])))[0]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.sum() > 300_000 and peak < 1 << 20
